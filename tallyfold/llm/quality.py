@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from tallyfold.llm.common import flat, in_slices, text_of
 from tallyfold.llm.words import LOWER, bounds, hashes, mix
 
-SAMPLE, RANK, NEAREST, POWER, THRESHOLD = 3000, 48, 25, 4.0, 0.3
+SAMPLE, RANK, NEAREST, POWER, THRESHOLD = 2500, 48, 25, 4.0, 0.3
 SHAPES, REPEATS = 16, 32
 DIMS = SHAPES**3 + REPEATS
 
@@ -81,14 +81,23 @@ def terms(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.log1p(out, out=out)
 
 
+def directions(z: np.ndarray, rank: int, steps: int = 8) -> np.ndarray:
+    """The leading right singular vectors of z, by subspace iteration: no square matrix of terms is made."""
+    q = np.random.default_rng(0).standard_normal((z.shape[1], rank + 8)).astype(np.float32)
+    for _ in range(steps):
+        q, _ = np.linalg.qr(z.T @ (z @ q))
+    _, _, turn = np.linalg.svd(z @ q, full_matrices=False)
+    return np.ascontiguousarray((q @ turn.T)[:, :rank]).astype(np.float32)
+
+
 class Model:
     def __init__(self, x: np.ndarray, y: np.ndarray, rank: int, nearest: int, power: float):
         self.prior = float(y.mean()) if len(y) else 0.5
         self.nearest, self.power = nearest, power
         self.idf = np.log((1 + len(y)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
         if len(y):
-            _, vectors = np.linalg.eigh((z := self._weigh(x)).T @ z)
-            self.axes = np.ascontiguousarray(vectors[:, ::-1][:, :rank]).astype(np.float32)
+            z = self._weigh(x)
+            self.axes = directions(z, rank)
             self.known, self.labels = self._unit(z @ self.axes), y.astype(np.float32)
 
     def _weigh(self, x: np.ndarray) -> np.ndarray:
@@ -135,7 +144,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
         return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([zlib.compress(r.tobytes(), 1) for r in x], pa.binary())], ["doc_id", "y", "x"])
 
     got = rows.mapInArrow(in_slices(run, most=1 << 20), "doc_id long, y int, x binary").orderBy("doc_id").limit(2 * sample).collect()
-    x = np.stack([np.frombuffer(zlib.decompress(r.x), np.float32) for r in got]) if got else np.zeros((0, DIMS), np.float32)
+    x = np.zeros((len(got), DIMS), np.float32)
+    for i, r in enumerate(got):
+        x[i] = np.frombuffer(zlib.decompress(r.x), np.float32)
     return Model(x, np.array([r.y for r in got], np.float64), rank, nearest, power)
 
 

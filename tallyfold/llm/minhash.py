@@ -117,8 +117,13 @@ def _throw(rank: np.ndarray, value: np.ndarray, base: np.ndarray, r: np.ndarray,
     value[cell[won]] = dart[won]
 
 
+def _key(shingles_: np.ndarray) -> bytes:
+    """Of the ordered shingles: equal for copies."""
+    return hashlib.sha256(shingles_.tobytes()).digest()[:16]
+
+
 def described(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame:
-    """doc_id, key (of the ordered shingles), bands' hashes and the set of shingles (sorted 64-bit) of each row."""
+    """doc_id, key (of the ordered shingles), size (how many), bands' hashes, the signature's low bytes, and whether shingles repeat."""
     k = bands * rows
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -129,16 +134,51 @@ def described(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame
         band = sig[:, ::rows].copy()
         for j in range(1, rows):
             band = mix(band * GOLD + sig[:, j::rows])
-        one = unit == 0
-        at = np.searchsorted(text[one], np.arange(n + 1))
-        own = element[one]
-        keys = [hashlib.sha256(raw[first[i] : first[i + 1]].tobytes()).digest()[:16] for i in range(n)]
-        sets = [own[at[i] : at[i + 1]].tobytes() for i in range(n)]
+        band = mix(band + np.arange(bands, dtype=np.uint64))  # a band's hash is its own
+        repeats = np.bincount(text[unit > 0], minlength=n) > 0.01 * np.diff(first)
+        keys = [_key(raw[first[i] : first[i + 1]]) for i in range(n)]
         lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(band.view(np.int64).ravel()))
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary()), lists, pa.array(sets, pa.binary())], ["doc_id", "key", "bands", "shingles"])
+        low = [r.tobytes() for r in (sig >> np.uint64(40)).astype(np.uint8)]
+        cols = [b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(np.diff(first), pa.int64()), lists, pa.array(low, pa.binary()), pa.array(repeats)]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "size", "bands", "sig", "repeats"])
 
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows_.mapInArrow(in_slices(run, most=2 << 20), "doc_id long, key binary, bands array<long>, shingles binary")
+    return rows_.mapInArrow(in_slices(run, most=2 << 20), "doc_id long, key binary, size long, bands array<long>, sig binary, repeats boolean")
+
+
+def sets_of(docs: DataFrame, need: DataFrame, shingle: int) -> DataFrame:
+    """The set of shingles (sorted, 64-bit) of each needed class (class, key)."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        raw, first = shingles(*flat(b.column("text")), n=shingle)
+        own = [raw[first[i] : first[i + 1]] for i in range(b.num_rows)]
+        ok = pa.array([_key(x) == k.as_py() for x, k in zip(own, b.column("key"), strict=True)], pa.bool_())
+        return pa.RecordBatch.from_arrays([b.column("class"), pa.array([np.unique(x).tobytes() for x in own], pa.binary())], ["class", "shingles"]).filter(ok)
+
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("class"), text_of().alias("text")).join(need, "class")
+    return rows.select("class", "key", "text").mapInArrow(in_slices(run), "class long, shingles binary").dropDuplicates(["class"])
+
+
+def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """Pairs whose signatures don't rule them out: agreement four deviations and more below `least` does.
+
+    Signatures tell the weighted similarity; where shingles repeat, it can be well below that of the sets, and pairs stay on
+    half of `least` already.
+    """
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("x", "y"))
+            same = ((x == y).mean(1) - 1 / 256) / (255 / 256)
+            k = x.shape[1]
+            bound = np.where(np.array(b.column("repeats").to_pylist(), bool), least / 2, least - 4.5 * np.sqrt(least * (1 - least) / k))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(same >= bound))
+
+    out = pairs.join(reps.select(F.col("class").alias("a"), F.col("sig").alias("x"), F.col("repeats").alias("r")), "a")
+    out = out.join(reps.select(F.col("class").alias("b"), F.col("sig").alias("y"), F.col("repeats").alias("q")), "b")
+    return out.select("a", "b", "x", "y", (F.col("r") | F.col("q")).alias("repeats")).mapInArrow(run, "a long, b long")
 
 
 def _sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -197,8 +237,8 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def linked(reps: DataFrame, least: float) -> DataFrame:
-    """Components (node, root) of the classes (class, bands, shingles) under confirmed similarity.
+def linked(docs: DataFrame, reps: DataFrame, least: float, shingle: int) -> DataFrame:
+    """Components (node, root) of the classes (see described()) under confirmed similarity.
 
     Groups are at first the bands' buckets. Members of the smallest are compared with each other, those of others with a
     leader: of the classes that any member meets anywhere, the one that meets most. So all groups around one text have it as
@@ -210,8 +250,11 @@ def linked(reps: DataFrame, least: float) -> DataFrame:
     the most frequent as they must share. Few sharing one are compared at once; many are a group of the next round, without
     the leader.
     """
-    spots = reps.select("class", F.posexplode("bands").alias("band", "h")).select(F.struct("band", "h").alias("g"), "class")
-    groups = written(spots.join(spots.groupBy("g").count().filter("count > 1"), "g"), "part")
+    spots = reps.select("class", F.explode("bands").alias("g")).repartition("g")
+    groups = written(spots.join(spots.groupBy("g").count().filter("count > 1"), "g"), "groups")
+    need = groups.select("class").distinct().join(reps, "class").select("class", "key")
+    sets = written(sets_of(docs, need, shingle), "sets")
+    compare = lambda pairs: confirmed(likely(pairs, reps, least), sets, least)
     good, found = None, None
     while not groups.isEmpty():
         few = groups.filter(F.col("count") <= PAIRED)
@@ -224,13 +267,13 @@ def linked(reps: DataFrame, least: float) -> DataFrame:
         lead = many.join(best, "class").groupBy("g").agg(F.max("best").alias("best"))
         star = written(many.join(lead, "g").select((-F.col("best.minus")).alias("a"), F.col("class").alias("b")).filter("a != b").distinct(), "part")
         tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(direct).distinct()
-        sure = confirmed(tried, reps, least)
+        sure = compare(tried)
         good = written(sure if good is None else good.union(sure), "part")
         found = components(good)
         named = star.join(found, star["b"] == found["node"], "left").select("a", "b", F.coalesce("root", "b").alias("root"))
         mixed = named.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("a")
         open_ = named.join(mixed, "a")
-        parts = written(differences(open_.select("a", "b"), reps).join(open_, ["a", "b"]), "part")
+        parts = written(differences(open_.select("a", "b"), sets).join(open_, ["a", "b"]), "part")
         ratio = F.lit(1 / least)
         reach = F.floor(ratio * F.col("same") - (F.col("size") - F.col("same")) + 1e-9)
         low = F.ceil(F.col("size") * least - 1e-9)
@@ -248,8 +291,8 @@ def linked(reps: DataFrame, least: float) -> DataFrame:
         x = few.select("a", "s", F.col("b").alias("x"), F.col("root").alias("rx"))
         y = few.select("a", "s", F.col("b").alias("y"), F.col("root").alias("ry"))
         paired = x.join(y, ["a", "s"]).filter("x < y AND rx != ry").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        good = written(good.union(confirmed(sized.union(paired).distinct(), reps, least)), "part")
-        groups = written(shared.filter(F.col("count") > FEW).select(F.struct("a", "s").alias("g"), F.col("b").alias("class"), "count"), "part")
+        good = written(good.union(compare(sized.union(paired).distinct())), "part")
+        groups = written(shared.filter(F.col("count") > FEW).select(F.xxhash64("a", "s").alias("g"), F.col("b").alias("class"), "count"), "part")
         found = components(good)
     return found if found is not None else reps.select(F.col("class").alias("node"), F.col("class").alias("root"))
 
@@ -260,10 +303,9 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
     # Equal rows of the table meet once per task: min and the first set are combined before the shuffle.
     copies = written(all_.groupBy("key").agg(F.min("doc_id").alias("class")).withColumn("class", F.coalesce("class", F.lit(-1).cast("long"))), "part")
     # By class, which is one row's doc_id: a key however frequent makes no hot task here.
-    one = all_.withColumn("class", F.coalesce("doc_id", F.lit(-1).cast("long"))).filter(F.octet_length("shingles") > 0)
-    reps = one.join(copies, ["class", "key"]).dropDuplicates(["class"])
-    reps = written(reps.select("class", "bands", "shingles"), "classes")
-    found = linked(reps, least)
+    one = all_.withColumn("class", F.coalesce("doc_id", F.lit(-1).cast("long"))).filter("size > 0")
+    reps = written(one.join(copies, ["class", "key"]).dropDuplicates(["class"]).select("class", "key", "bands", "sig", "repeats"), "classes")
+    found = linked(docs, reps, least, shingle)
     named = copies.join(found, copies["class"] == found["node"], "left").select("key", F.col("class").alias("copy_id"), F.coalesce("root", "class").alias("class_id"))
     return all_.select("doc_id", "key").join(named, "key").select("doc_id", "copy_id", "class_id")
 

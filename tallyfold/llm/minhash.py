@@ -247,15 +247,15 @@ def linked(docs: DataFrame, reps: DataFrame, least: float, shingle: int) -> Data
     similarity is at most min(p, q) / (max(p, q) + u + v). So what can still be similar, among members of one leader that are
     not of one component by then, either passes that bound, found by size, or shares a shingle the leader lacks. As the
     two have at least `least` of either's shingles in common, they share one even of the rarest of those, but for as many of
-    the most frequent as they must share. Few sharing one are compared at once; many are a group of the next round, without
-    the leader.
+    the most frequent as they must share. Few sharing one are compared at once; many are a group of the next round, where a
+    group has to be eight times as large not to count as few: so the rounds end.
     """
     spots = reps.select("class", F.explode("bands").alias("g")).repartition("g")
     groups = written(spots.join(spots.groupBy("g").count().filter("count > 1"), "g"), "groups")
     need = groups.select("class").distinct().join(reps, "class").select("class", "key")
     sets = written(sets_of(docs, need, shingle), "sets")
     compare = lambda pairs: confirmed(likely(pairs, reps, least), sets, least)
-    good, found = None, None
+    good, found, most = None, None, FEW
     while not groups.isEmpty():
         few = groups.filter(F.col("count") <= PAIRED)
         direct = few.select("g", F.col("class").alias("a")).join(few.select("g", F.col("class").alias("b")), "g").filter("a < b").select("a", "b")
@@ -287,13 +287,14 @@ def linked(docs: DataFrame, reps: DataFrame, least: float, shingle: int) -> Data
         own = written(own.select("a", "b", "root", "s"), "part")
         by = own.groupBy("a", "s").agg(F.count("*").alias("count"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("a", "s", "count")
         shared = written(own.join(by, ["a", "s"]), "part")
-        few = shared.filter(F.col("count") <= FEW)
+        few = shared.filter(F.col("count") <= most)
         x = few.select("a", "s", F.col("b").alias("x"), F.col("root").alias("rx"))
         y = few.select("a", "s", F.col("b").alias("y"), F.col("root").alias("ry"))
         paired = x.join(y, ["a", "s"]).filter("x < y AND rx != ry").select(F.col("x").alias("a"), F.col("y").alias("b"))
         good = written(good.union(compare(sized.union(paired).distinct())), "part")
-        groups = written(shared.filter(F.col("count") > FEW).select(F.xxhash64("a", "s").alias("g"), F.col("b").alias("class"), "count"), "part")
+        groups = written(shared.filter(F.col("count") > most).select(F.xxhash64("a", "s").alias("g"), F.col("b").alias("class"), "count"), "part")
         found = components(good)
+        most *= 8
     return found if found is not None else reps.select(F.col("class").alias("node"), F.col("class").alias("root"))
 
 

@@ -30,7 +30,7 @@ def orders_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def perturbed_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", money("l_extendedprice").alias("l_extendedprice"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", money("l_extendedprice").alias("l_extendedprice"))
     b = li.filter("l_orderkey % 97 <> 0").withColumn("l_extendedprice", (F.col("l_extendedprice") + F.when(F.col("l_partkey") % 101 == 0, 10).otherwise(0)).cast(TYPE))
     return li.filter("l_orderkey % 89 <> 0"), b
 
@@ -69,8 +69,7 @@ def recon_tolerance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def m2m_pairs(spark: SparkSession, d: str) -> DataFrame:
-    a, b = (x.join(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), ["l_orderkey", "l_linenumber"]) for x in perturbed_sides(spark, d))
-    return reconcile.m2m_pairs(a, b, [Mapping("key", 0, "l_suppkey", "l_suppkey", "raw")]).select(F.col("k0").alias("supplier"), "rows_a", "rows_b", F.col("pairs").cast("long").alias("pairs"))
+    return reconcile.m2m_pairs(*perturbed_sides(spark, d), [Mapping("key", 0, "l_suppkey", "l_suppkey", "raw")]).select(F.col("k0").alias("supplier"), "rows_a", "rows_b", F.col("pairs").cast("long").alias("pairs"))
 
 
 FD = {

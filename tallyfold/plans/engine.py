@@ -99,7 +99,7 @@ class Engine:
             raise HeaderDetectionError(f"{found.name}: two columns have one name but for white space")
         taken = {"src_row"}
         names = [sql_name(h, taken) for h in found.header]
-        rounding, hint = found.format == "xlsx", "greek" if found.encoding == "cp1253" else None
+        rounding, hint = found.format == "xlsx", "greek" if found.encoding == "cp1253" else "standard"
         forced = {norm_column_name(k): v for k, v in found.forced.items()}
         raw = infer.trimmed(found.frame(self.spark, norm), norm).persist()
         columns = infer.infer(raw, norm, hint, rounding, forced)

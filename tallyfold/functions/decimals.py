@@ -52,7 +52,7 @@ def parse_decimal(c: Column, fmt: str = "standard", rounding: bool = False) -> C
 
 def format_decimal(c: Column) -> Column:
     """Plain decimal text without trailing zeros."""
-    return F.regexp_replace(c.cast(TYPE).cast("string"), r"\.?0+$", "")
+    return F.regexp_replace(c.cast("decimal(38,6)").cast("string"), r"\.?0+$", "")  # wide enough for sums
 
 
 def mul(a: Column, b: Column) -> Column:

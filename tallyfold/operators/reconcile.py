@@ -34,20 +34,22 @@ class Policy:
     large: int = 1000
 
 
-def side(df: DataFrame, which: str, keys: list[Mapping], compares: list[Mapping], lineage: bool = False) -> DataFrame:
-    """One side by normalised keys: sums, rows, a key as written (the smallest), and source rows if asked for."""
+def side(df: DataFrame, which: str, keys: list[Mapping], compares: list[Mapping], lineage: bool = False, displays: list[Mapping] = ()) -> DataFrame:
+    """One side by normalised keys: sums, rows, a key as written (the smallest), what is shown of it where all its rows agree,
+    and source rows if asked for."""
     col = lambda m: F.col(f"`{m.col_a if which == 'a' else m.col_b}`")
     norm = [(norm_key(col(m).cast("string"), m.mode)).alias(f"k{i}") for i, m in enumerate(keys)]
     aggs = [F.coalesce(F.sum(col(m).cast(TYPE)), F.lit(0)).cast(SUM).alias(f"{which}_v{j}") for j, m in enumerate(compares)]
     aggs += [F.count("*").alias(f"rows_{which}"), *[F.min(col(m).cast("string")).alias(f"{which}_k{i}") for i, m in enumerate(keys)]]
+    aggs += [F.when(F.min(c) == F.max(c), F.min(c)).alias(f"{which}_d{i}") for i, m in enumerate(displays) for c in [col(m).cast("string")]]
     if lineage:
         aggs.append(F.sort_array(F.collect_list("src_row")).alias(f"lineage_{which}"))
     return df.groupBy(*norm).agg(*aggs)
 
 
-def joined(a: DataFrame, b: DataFrame, keys: list[Mapping], compares: list[Mapping], lineage: bool = False) -> DataFrame:
+def joined(a: DataFrame, b: DataFrame, keys: list[Mapping], compares: list[Mapping], lineage: bool = False, displays: list[Mapping] = ()) -> DataFrame:
     """Both sides of every key; null keys meet null keys."""
-    x, y = side(a, "a", keys, compares, lineage), side(b, "b", keys, compares, lineage)
+    x, y = side(a, "a", keys, compares, lineage, displays), side(b, "b", keys, compares, lineage, displays)
     names = [f"k{i}" for i in range(len(keys))]
     y = y.withColumnsRenamed({k: f"{k}_b" for k in names})
     on = _all([F.col(k).eqNullSafe(F.col(f"{k}_b")) for k in names])
@@ -114,15 +116,18 @@ def check(a: DataFrame, b: DataFrame, mappings: list[Mapping]) -> None:
 def reconcile(a: DataFrame, b: DataFrame, mappings: list[Mapping], policy: Policy = Policy(), lineage: bool = False, all_buckets: bool = False) -> DataFrame:
     """Findings of every level: level 0 for all keys, deeper ones below keys that differ; parent_json names the finding above.
 
-    Matches are left out unless all_buckets asks for them.
+    Matches are left out unless all_buckets asks for them. With columns to display there is a note: their values where all rows
+    of a key agree, side a's before side b's.
     """
     check(a, b, mappings)
-    compares = [m for m in mappings if m.role == "compare"]
+    compares, displays = ([m for m in mappings if m.role == r] for r in ("compare", "display"))
     levels = levels_of(mappings)
     guard(a, b, levels[-1], policy.m2m_cap)
     out, above = None, None
     for n, keys in enumerate(levels):
-        rows = bucketed(joined(a, b, keys, compares, lineage), keys, compares, n, policy)
+        rows = bucketed(joined(a, b, keys, compares, lineage, displays), keys, compares, n, policy)
+        if displays:
+            rows = rows.withColumn("note", F.to_json(F.struct(*[F.coalesce(f"a_d{i}", f"b_d{i}").alias(m.col_a) for i, m in enumerate(displays)])))
         if above is None:
             rows = rows.withColumn("parent_json", F.lit(None).cast("string"))
         else:
@@ -131,7 +136,7 @@ def reconcile(a: DataFrame, b: DataFrame, mappings: list[Mapping], policy: Polic
             on = _all([F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in upper] + [F.col("compare_col") == F.col("p_col")])
             rows = rows.join(parent, on).drop(*[f"p_{k}" for k in upper], "p_col")
         above = rows
-        shown = ["level", "bucket", "key_json", "parent_json", "compare_col", "value_a", "value_b", "delta", "rows_a", "rows_b", "severity", *(["lineage_a", "lineage_b"] if lineage else [])]
+        shown = ["level", "bucket", "key_json", "parent_json", "compare_col", "value_a", "value_b", "delta", "rows_a", "rows_b", "severity", *(["note"] if displays else []), *(["lineage_a", "lineage_b"] if lineage else [])]
         part = (rows if all_buckets else rows.filter("bucket <> 'MATCH'")).select(*shown)
         out = part if out is None else out.union(part)
     return out

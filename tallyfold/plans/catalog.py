@@ -19,7 +19,7 @@ SCHEMAS = {
     "DatasetColumn": "id long, loaded_file_id long, position int, name_raw string, name_norm string, sql_name string, inferred_type string, number_format string, null_count long, distinct_count long",
     "ReconPair": "id long, name string, profile_a_id long, profile_b_id long, created_at string",
     "ColumnMapping": "id long, recon_pair_id long, role string, level int, col_a string, col_b string, norm_mode string",
-    "JoinKeyStat": "id long, recon_pair_id long, file_a_id long, file_b_id long, col_a string, col_b string, uniqueness_a double, uniqueness_b double, overlap_ratio double, computed_at string",
+    "JoinKeyStat": "id long, recon_pair_id long, file_a_id long, file_b_id long, col_a string, col_b string, uniqueness_a double, uniqueness_b double, overlap_ratio double, computed_at string, null_rate_a double, null_rate_b double",
     "ColumnHierarchy": "id long, loaded_file_id long, parent_name string, child_name string, parent_distinct long, child_distinct long, consistency double, kind string, computed_at string",
     "Run": "id long, run_uuid string, recon_pair_id long, loaded_file_a_id long, loaded_file_b_id long, config_json string, started_at string, finished_at string, total_findings long",
     "RunLevelStat": "id long, run_id long, level int, examined long, matched long, only_a long, only_b long, differ long",

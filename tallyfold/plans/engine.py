@@ -6,11 +6,13 @@ import json
 import os
 import uuid
 from dataclasses import asdict
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.errors import DelimiterDetectionError, DriftError, HeaderDetectionError, NotFoundError, ReconError, SchemaMismatchError, UnrecognizedFormatError, UsageError
+from tallyfold.functions.decimals import format_decimal
 from tallyfold.functions.text import norm_column_name, sql_name
 from tallyfold.operators import fingerprint as fp
 from tallyfold.operators import hierarchy, infer, keys, reconcile
@@ -38,6 +40,14 @@ def parse_mapping(entry: str, role: str) -> reconcile.Mapping:
     return reconcile.Mapping(role, level, norm_column_name(a), norm_column_name(b), mode)
 
 
+FINDING_TYPES = {"run_id": "long", "level": "int", "rows_a": "long", "rows_b": "long"}
+
+
+def _finding_id(run_id: int, level: Column, key: str) -> Column:
+    """The same for one finding however often it is computed, so that children know their parents without another join."""
+    return F.md5(F.to_json(F.struct(F.lit(run_id).alias("r"), level.alias("l"), F.col("compare_col").alias("c"), F.col(key).alias("k"))))
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -243,9 +253,9 @@ class Engine:
         p = self.catalog.one("ReconPair", name=pair)
         fa, fb = self._files(p, a, b)
         found, compare = keys.suggest(self.dataset(fa), self.dataset(fb), self.columns(fa), self.columns(fb))
-        self.catalog.drop("JoinKeyStat", recon_pair_id=p["id"], file_a_id=fa, file_b_id=fb)
+        nulls = [{r["name_norm"]: keys.round3(r["null_count"] / max(1, self.catalog.one("LoadedFile", id=f)["row_count"])) for r in self.catalog.find("DatasetColumn", loaded_file_id=f)} for f in (fa, fb)]
         for c in found:
-            self.catalog.add("JoinKeyStat", recon_pair_id=p["id"], file_a_id=fa, file_b_id=fb, col_a=c.col_a, col_b=c.col_b, uniqueness_a=c.unique_a, uniqueness_b=c.unique_b, overlap_ratio=c.overlap, computed_at=now())
+            self.catalog.add("JoinKeyStat", recon_pair_id=p["id"], file_a_id=fa, file_b_id=fb, col_a=c.col_a, col_b=c.col_b, uniqueness_a=c.unique_a, uniqueness_b=c.unique_b, overlap_ratio=c.overlap, null_rate_a=nulls[0][c.col_a], null_rate_b=nulls[1][c.col_b], computed_at=now())
         self.catalog.save("JoinKeyStat")
         levels = hierarchy.propose_levels(self._deps(fa), self._deps(fb), [(c.col_a, c.col_b) for c in found])
         return {"keys": [asdict(c) for c in found], "compares": [{"col_a": x, "col_b": y, "name_sim": s} for x, y, s in compare], "levels": levels}
@@ -263,7 +273,9 @@ class Engine:
         try:
             stats = [r.asDict() for r in reconcile.level_stats(every).orderBy("level").collect()]
             kept = every.filter("bucket <> 'MATCH'").withColumn("lineage_json", F.to_json(F.struct(F.col("lineage_a").alias("a"), F.col("lineage_b").alias("b")))).drop("lineage_a", "lineage_b")
-            kept.withColumns({"run_id": F.lit(run_id), "note": F.lit(None).cast("string")}).write.mode("overwrite").partitionBy("level").parquet(f"{self.root}/findings/run_id={run_id}")
+            if "note" not in kept.columns:
+                kept = kept.withColumn("note", F.lit(None).cast("string"))
+            kept.withColumns({"run_id": F.lit(run_id), "id": _finding_id(run_id, F.col("level"), "key_json"), "parent_finding_id": F.when(F.col("level") > 0, _finding_id(run_id, F.col("level") - 1, "parent_json"))}).write.mode("overwrite").partitionBy("level").parquet(f"{self.root}/findings/run_id={run_id}")
             high = every.filter("severity = 'high'").count()
         finally:
             every.unpersist()
@@ -278,6 +290,29 @@ class Engine:
         self.catalog.one("Run", id=run_id)
         return self.spark.read.parquet(f"{self.root}/findings/run_id={run_id}")
 
+    def run_findings(self) -> DataFrame:
+        """Findings of all runs, amounts as exact decimal texts; a child names its parent by id."""
+        amounts = {f"{n}_micros": format_decimal(F.col(n)) for n in ("value_a", "value_b", "delta")}
+        shown = ["id", "run_id", "parent_finding_id", "level", "bucket", "key_json", "compare_col", *amounts, "rows_a", "rows_b", "severity", "note", "lineage_json"]
+        if not self.catalog.rows["Run"]:
+            text = ", ".join(f"{c} {FINDING_TYPES.get(c, 'string')}" for c in shown)
+            return self.spark.createDataFrame([], text)
+        every = [self.findings(r["id"]).withColumns(amounts).select(*shown) for r in self.catalog.rows["Run"]]
+        return reduce(DataFrame.union, every)
+
+    def register(self) -> list[str]:
+        """Names of temporary views over all that is kept: the catalogue, RunFinding, and Dataset1, Dataset2 and so on."""
+        views = {t: self.catalog.table(t) for t in self.catalog.rows} | {"RunFinding": self.run_findings()}
+        views |= {f"Dataset{f['id']}": self.dataset(f["id"]) for f in self.catalog.rows["LoadedFile"]}
+        for name, df in views.items():
+            df.createOrReplaceTempView(name)
+        return list(views)
+
+    def sql(self, query: str) -> DataFrame:
+        """The caller's own query over those views."""
+        self.register()
+        return self.spark.sql(query)
+
     def run(self, path_a: str, path_b: str, pair: str | None = None, auto: bool = False, profile_a: str | None = None, profile_b: str | None = None, tolerance: str = "0.01", m2m_cap: int = 10_000) -> dict:
         """Both files in, and reconciled as far as no decision is needed. Each file stays even if the other fails."""
         cat = self.catalog
@@ -311,7 +346,7 @@ class Engine:
     def document(self) -> str:
         tables = {t: self.catalog.table(t) for t in self.catalog.rows}
         tables |= {f"Dataset{f['id']}": self.dataset(f["id"]) for f in self.catalog.rows["LoadedFile"]}
-        tables |= {f"RunFinding{r['id']}": self.findings(r["id"]) for r in self.catalog.rows["Run"]}
+        tables["RunFinding"] = self.run_findings()
         return document(self.spark, tables)
 
 

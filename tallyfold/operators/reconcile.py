@@ -25,31 +25,33 @@ class Mapping:
 
 @dataclass(frozen=True)
 class Policy:
-    """Choices of our own: the boundary of the tolerance matches, null keys are a group, null amounts add nothing, an absent
+    """Choices of our own (lineage_rows: the most rows of a side that a finding lists itself, see with_lineage()): the boundary of the tolerance matches, null keys are a group, null amounts add nothing, an absent
     side's delta is the signed present value; severity is high for level-0 rows of one side or large deltas, medium for other
     level-0 findings, low below."""
 
     tolerance: str = "0.01"
     m2m_cap: int = 10_000
     large: int = 1000
+    lineage_rows: int = 10_000
 
 
-def side(df: DataFrame, which: str, keys: list[Mapping], compares: list[Mapping], lineage: bool = False, displays: list[Mapping] = ()) -> DataFrame:
-    """One side by normalised keys: sums, rows, a key as written (the smallest), what is shown of it where all its rows agree,
-    and source rows if asked for."""
+def _norm(which: str, keys: list[Mapping]) -> list[Column]:
+    return [norm_key(F.col(f"`{m.col_a if which == 'a' else m.col_b}`").cast("string"), m.mode) for m in keys]
+
+
+def side(df: DataFrame, which: str, keys: list[Mapping], compares: list[Mapping], displays: list[Mapping] = ()) -> DataFrame:
+    """One side by normalised keys: sums, rows, a key as written (the smallest), and what is shown of it where all its rows agree."""
     col = lambda m: F.col(f"`{m.col_a if which == 'a' else m.col_b}`")
-    norm = [(norm_key(col(m).cast("string"), m.mode)).alias(f"k{i}") for i, m in enumerate(keys)]
+    norm = [c.alias(f"k{i}") for i, c in enumerate(_norm(which, keys))]
     aggs = [F.coalesce(F.sum(col(m).cast(TYPE)), F.lit(0)).cast(SUM).alias(f"{which}_v{j}") for j, m in enumerate(compares)]
     aggs += [F.count("*").alias(f"rows_{which}"), *[F.min(col(m).cast("string")).alias(f"{which}_k{i}") for i, m in enumerate(keys)]]
     aggs += [F.when(F.min(c) == F.max(c), F.min(c)).alias(f"{which}_d{i}") for i, m in enumerate(displays) for c in [col(m).cast("string")]]
-    if lineage:
-        aggs.append(F.sort_array(F.collect_list("src_row")).alias(f"lineage_{which}"))
     return df.groupBy(*norm).agg(*aggs)
 
 
-def joined(a: DataFrame, b: DataFrame, keys: list[Mapping], compares: list[Mapping], lineage: bool = False, displays: list[Mapping] = ()) -> DataFrame:
+def joined(a: DataFrame, b: DataFrame, keys: list[Mapping], compares: list[Mapping], displays: list[Mapping] = ()) -> DataFrame:
     """Both sides of every key; null keys meet null keys."""
-    x, y = side(a, "a", keys, compares, lineage, displays), side(b, "b", keys, compares, lineage, displays)
+    x, y = side(a, "a", keys, compares, displays), side(b, "b", keys, compares, displays)
     names = [f"k{i}" for i in range(len(keys))]
     y = y.withColumnsRenamed({k: f"{k}_b" for k in names})
     on = _all([F.col(k).eqNullSafe(F.col(f"{k}_b")) for k in names])
@@ -113,11 +115,11 @@ def check(a: DataFrame, b: DataFrame, mappings: list[Mapping]) -> None:
                 raise SchemaMismatchError(f"{name!r} is not exact numbers")
 
 
-def reconcile(a: DataFrame, b: DataFrame, mappings: list[Mapping], policy: Policy = Policy(), lineage: bool = False, all_buckets: bool = False) -> DataFrame:
+def reconcile(a: DataFrame, b: DataFrame, mappings: list[Mapping], policy: Policy = Policy(), lineage: bool = False, all_buckets: bool = False, keyed: bool = False) -> DataFrame:
     """Findings of every level: level 0 for all keys, deeper ones below keys that differ; parent_json names the finding above.
 
     Matches are left out unless all_buckets asks for them. With columns to display there is a note: their values where all rows
-    of a key agree, side a's before side b's.
+    of a key agree, side a's before side b's. keyed adds the normalised keys, as with_lineage() and lineage_rows() need them.
     """
     check(a, b, mappings)
     compares, displays = ([m for m in mappings if m.role == r] for r in ("compare", "display"))
@@ -125,7 +127,7 @@ def reconcile(a: DataFrame, b: DataFrame, mappings: list[Mapping], policy: Polic
     guard(a, b, levels[-1], policy.m2m_cap)
     out, above = None, None
     for n, keys in enumerate(levels):
-        rows = bucketed(joined(a, b, keys, compares, lineage, displays), keys, compares, n, policy)
+        rows = bucketed(joined(a, b, keys, compares, displays), keys, compares, n, policy)
         if displays:
             rows = rows.withColumn("note", F.to_json(F.struct(*[F.coalesce(f"a_d{i}", f"b_d{i}").alias(m.col_a) for i, m in enumerate(displays)])))
         if above is None:
@@ -135,11 +137,42 @@ def reconcile(a: DataFrame, b: DataFrame, mappings: list[Mapping], policy: Polic
             parent = above.filter("bucket = 'DIFFER'").select(*[F.col(k).alias(f"p_{k}") for k in upper], F.col("compare_col").alias("p_col"), F.col("key_json").alias("parent_json"))
             on = _all([F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in upper] + [F.col("compare_col") == F.col("p_col")])
             rows = rows.join(parent, on).drop(*[f"p_{k}" for k in upper], "p_col")
+        rows = rows.withColumn("norm_keys", F.array(*[F.col(f"k{i}") for i in range(len(keys))]))
         above = rows
-        shown = ["level", "bucket", "key_json", "parent_json", "compare_col", "value_a", "value_b", "delta", "rows_a", "rows_b", "severity", *(["note"] if displays else []), *(["lineage_a", "lineage_b"] if lineage else [])]
+        shown = ["level", "bucket", "key_json", "parent_json", "compare_col", "value_a", "value_b", "delta", "rows_a", "rows_b", "severity", *(["note"] if displays else []), *(["norm_keys"] if keyed or lineage else [])]
         part = (rows if all_buckets else rows.filter("bucket <> 'MATCH'")).select(*shown)
         out = part if out is None else out.union(part)
-    return out
+    if not lineage:
+        return out
+    out = with_lineage(out, a, b, mappings, policy.lineage_rows)
+    return out if keyed else out.drop("norm_keys")
+
+
+def _rows(df: DataFrame, which: str, mappings: list[Mapping]) -> DataFrame:
+    """src_row with level and normalised keys, a row for each level."""
+    each = [F.struct(F.lit(n).alias("level"), F.array(*_norm(which, keys)).alias("norm_keys")) for n, keys in enumerate(levels_of(mappings))]
+    return df.select("src_row", F.explode(F.array(*each)).alias("_at")).select("src_row", "_at.*")
+
+
+def with_lineage(findings: DataFrame, a: DataFrame, b: DataFrame, mappings: list[Mapping], most: int = Policy.lineage_rows) -> DataFrame:
+    """Keyed findings with lineage_a and lineage_b, the sorted source rows.
+
+    Only rows of keys with findings are gathered, and lists of more than `most` rows are null: a key may hold a third of all
+    rows. lineage_rows() gives those of any number.
+    """
+    for which, df in (("a", a), ("b", b)):
+        need = findings.filter((F.col("bucket") != "MATCH") & F.col(f"rows_{which}").between(1, most)).select("level", "norm_keys").distinct()
+        rows = _rows(df, which, mappings).join(need, ["level", "norm_keys"], "left_semi")
+        lists = rows.groupBy("level", "norm_keys").agg(F.sort_array(F.collect_list("src_row")).alias(f"lineage_{which}"))
+        findings = findings.join(lists, ["level", "norm_keys"], "left")
+    return findings
+
+
+def lineage_rows(findings: DataFrame, a: DataFrame, b: DataFrame, mappings: list[Mapping]) -> DataFrame:
+    """level, norm_keys, side and src_row of every source row of keyed findings, in long form: no key is gathered."""
+    need = findings.filter("bucket <> 'MATCH'").select("level", "norm_keys").distinct()
+    x, y = (_rows(df, s, mappings).join(need, ["level", "norm_keys"], "left_semi").select("level", "norm_keys", F.lit(s).alias("side"), "src_row") for s, df in (("a", a), ("b", b)))
+    return x.union(y)
 
 
 def level_stats(findings: DataFrame) -> DataFrame:

@@ -269,10 +269,10 @@ class Engine:
         policy = reconcile.Policy(tolerance, m2m_cap)
         run_id = max((r["id"] for r in cat.rows["Run"]), default=0) + 1
         started, run_uuid = now(), str(uuid.uuid4())
-        every = reconcile.reconcile(x, y, maps, policy, lineage=True, all_buckets=True).persist()
+        every = reconcile.reconcile(x, y, maps, policy, all_buckets=True, keyed=True).persist()
         try:
             stats = [r.asDict() for r in reconcile.level_stats(every).orderBy("level").collect()]
-            kept = every.filter("bucket <> 'MATCH'").withColumn("lineage_json", F.to_json(F.struct(F.col("lineage_a").alias("a"), F.col("lineage_b").alias("b")))).drop("lineage_a", "lineage_b")
+            kept = reconcile.with_lineage(every.filter("bucket <> 'MATCH'"), x, y, maps, policy.lineage_rows).withColumn("lineage_json", F.to_json(F.struct(F.col("lineage_a").alias("a"), F.col("lineage_b").alias("b")))).drop("lineage_a", "lineage_b")
             if "note" not in kept.columns:
                 kept = kept.withColumn("note", F.lit(None).cast("string"))
             kept.withColumns({"run_id": F.lit(run_id), "id": _finding_id(run_id, F.col("level"), "key_json"), "parent_finding_id": F.when(F.col("level") > 0, _finding_id(run_id, F.col("level") - 1, "parent_json"))}).write.mode("overwrite").partitionBy("level").parquet(f"{self.root}/findings/run_id={run_id}")
@@ -282,7 +282,7 @@ class Engine:
         total = sum(s["only_a"] + s["only_b"] + s["differ"] for s in stats if s["level"] == 0)
         for s in stats:
             cat.add("RunLevelStat", run_id=run_id, **s)
-        cat.add("Run", run_uuid=run_uuid, recon_pair_id=p["id"], loaded_file_a_id=fa, loaded_file_b_id=fb, config_json=json.dumps({"tolerance": tolerance, "m2m_cap": m2m_cap}), started_at=started, finished_at=now(), total_findings=total)
+        cat.add("Run", run_uuid=run_uuid, recon_pair_id=p["id"], loaded_file_a_id=fa, loaded_file_b_id=fb, config_json=json.dumps({"tolerance": tolerance, "m2m_cap": m2m_cap, "mappings": [asdict(m) for m in maps]}), started_at=started, finished_at=now(), total_findings=total)
         cat.save("RunLevelStat", "Run")
         return {"pair": pair, "run_id": run_id, "run_uuid": run_uuid, "tolerance": tolerance, "levels": stats, "total_findings": total, "high_severity": high}
 
@@ -290,6 +290,12 @@ class Engine:
         self.catalog.one("Run", id=run_id)
         return self.spark.read.parquet(f"{self.root}/findings/run_id={run_id}")
 
+    def lineage(self, run_id: int) -> DataFrame:
+        """level, norm_keys, side and src_row of all source rows of a run's findings, however many a key has."""
+        r = self.catalog.one("Run", id=run_id)
+        maps = [reconcile.Mapping(**m) for m in json.loads(r["config_json"])["mappings"]]
+        return reconcile.lineage_rows(self.findings(run_id), self.dataset(r["loaded_file_a_id"]), self.dataset(r["loaded_file_b_id"]), maps)
+
     def run_findings(self) -> DataFrame:
         """Findings of all runs, amounts as exact decimal texts; a child names its parent by id."""
         amounts = {f"{n}_micros": format_decimal(F.col(n)) for n in ("value_a", "value_b", "delta")}

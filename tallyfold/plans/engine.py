@@ -8,6 +8,7 @@ import uuid
 from dataclasses import asdict
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,10 +70,26 @@ class Engine:
             if given:
                 raise
             found, matched = self._by_stored_spec(name, content, e)
+        return self._take(found, path, len(content), sha, profile, given, matched)
+
+    def ingest_large(self, path: str, delimiter: str, profile: str | None = None) -> dict:
+        """The same for delimited UTF-8 files of any size, a file or a folder: no row comes to the driver."""
+        staging = f"{self.root}/staging/{uuid.uuid4().hex}"
+        try:
+            found, size, identity = scan.scan_staged(self.spark, path, delimiter, staging)
+            if known := self.catalog.find("LoadedFile", sha256=identity):
+                return {"status": "already_loaded", "file_id": known[0]["id"]}
+            return self._take(found, path, size, identity, profile, None, None)
+        finally:
+            fs, p = self.catalog._fs(staging)
+            fs.delete(p, True)
+
+    def _take(self, found: scan.Scanned, path: str, size: int, sha: str, profile: str | None, given: specs.Spec | None, matched: int | None) -> dict:
+        cat, name = self.catalog, found.name
         typed, columns, names = self._typed(found)
-        typed = typed.persist()
+        typed = typed.persist(StorageLevel.DISK_ONLY if found.table is not None else StorageLevel.MEMORY_AND_DISK)
         try:
-            rows = len(found.rows)
+            rows = found.size
             print_ = fp.compute(typed, found.encoding, columns, rows, cat.salt)
             routing, profile_id, suggestions = self._route(print_, profile, matched)
             drift = {"hard": [], "soft": []}
@@ -88,7 +105,7 @@ class Engine:
             typed.unpersist()
         if routing == "created_new_profile" or routing == "attached_explicit" and not profile_id:
             profile_id = cat.add("Profile", name=self._free_name(profile or os.path.splitext(name)[0]), created_at=now())
-        file_id = cat.add("LoadedFile", file_name=name, absolute_path=path, size_bytes=len(content), sha256=sha, format=found.format, encoding=found.encoding, loaded_at=now(), row_count=rows, dataset_table=table, profile_id=profile_id)
+        file_id = cat.add("LoadedFile", file_name=name, absolute_path=path, size_bytes=size, sha256=sha, format=found.format, encoding=found.encoding, loaded_at=now(), row_count=rows, dataset_table=table, profile_id=profile_id)
         for i, (c, raw) in enumerate(zip(columns, found.header, strict=True)):
             cat.add("DatasetColumn", loaded_file_id=file_id, position=i, name_raw=raw, name_norm=c.name, sql_name=names[i], inferred_type=c.type, number_format=c.format, null_count=c.nulls, distinct_count=c.distinct)
         print_id = cat.add("Fingerprint", loaded_file_id=file_id, profile_id=profile_id, fingerprint_json=json.dumps(print_.to_dict(), sort_keys=True), drift_warnings_json=json.dumps(drift["soft"]), computed_at=now())
@@ -111,7 +128,7 @@ class Engine:
         names = [sql_name(h, taken) for h in found.header]
         rounding, hint = found.format == "xlsx", "greek" if found.encoding == "cp1253" else "standard"
         forced = {norm_column_name(k): v for k, v in found.forced.items()}
-        raw = infer.trimmed(found.frame(self.spark, norm), norm).persist()
+        raw = infer.trimmed(found.frame(self.spark, norm), norm)
         columns = infer.infer(raw, norm, hint, rounding, forced)
         typed = infer.canonical(raw, columns, rounding)
         stats = {r["col"]: r for r in infer.column_stats(typed, norm).collect()} if norm else {}
@@ -131,7 +148,7 @@ class Engine:
                 typed, columns, _ = self._typed(found)
             except ReconError:  # this spec doesn't read it; the others may
                 continue
-            if fp.similarity(fp.compute(typed, found.encoding, columns, len(found.rows), self.catalog.salt), last)["score"] >= fp.AUTO_ATTACH:
+            if fp.similarity(fp.compute(typed, found.encoding, columns, found.size, self.catalog.salt), last)["score"] >= fp.AUTO_ATTACH:
                 fits.append((found, p["id"]))
         if len(fits) > 1:
             raise UnrecognizedFormatError(f"{name}: the specs of several profiles fit")

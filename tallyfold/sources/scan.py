@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyfold.errors import DelimitedParseError, EncodingDetectionError, HeaderDetectionError
 from tallyfold.sources import delimited, encoding, xlsx
 from tallyfold.sources import spec as specs
 
@@ -24,8 +26,16 @@ class Scanned:
     header: list[str]
     rows: list[list[str]]
     forced: dict[str, tuple[str, str | None]]
+    table: DataFrame | None = None  # in place of rows: src_row and the columns in order
+    count: int | None = None
+
+    @property
+    def size(self) -> int:
+        return len(self.rows) if self.count is None else self.count
 
     def frame(self, spark: SparkSession, names: list[str]) -> DataFrame:
+        if self.table is not None:
+            return self.table.toDF("src_row", *names)
         data = pd.DataFrame(self.rows, columns=range(len(names)), dtype=object)
         data.insert(0, "src_row", range(1, len(data) + 1))
         schema = "src_row long, " + ", ".join(f"`{n}` string" for n in names)
@@ -70,6 +80,50 @@ def scan_large(spark: SparkSession, path: str, delimiter: str, names: list[str])
     return df.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
 
 
+def scan_staged(spark: SparkSession, path: str, delimiter: str, staging: str) -> tuple[Scanned, int, str]:
+    """Delimited UTF-8 files of any size with a header each, read in splits, checked whole and numbered: what they hold, bytes, identity.
+
+    Lines are written once, parsed, to the staging folder with the split they come from; a row's number is its place in its
+    split and the rows of the splits before (files by path). A quote must close on its line. Rows may be short, not long.
+    The identity is of all rows with their numbers and the header.
+    """
+    name = os.path.basename(path.rstrip("/"))
+    line = F.col("value")
+    text = spark.read.text(path).filter(F.length(F.trim(line)) > 0)
+    first = text.first()
+    if first is None:
+        raise HeaderDetectionError(f"{name} is empty")
+    header = delimited.parse(name, first.value.removeprefix("\ufeff"), delimiter)[0]
+    delimited.assert_header(name, header)
+    cells = F.from_csv(line, ", ".join(f"c{i} string" for i in range(len(header))), {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    fields = F.size(F.split(F.regexp_replace(line, '"[^"]*"', ""), re.escape(delimiter), -1))
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    wrong = F.when(~F.is_valid_utf8(line), "encoding").when(quotes % 2 == 1, "quote").when(fields > len(header), "long")
+    lines = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = lines.select(cells.alias("cells"), wrong.alias("wrong"), "file", "block", F.octet_length("value").alias("bytes"), F.monotonically_increasing_id().alias("id"))
+    lines.write.mode("overwrite").parquet(staging)
+    staged = spark.read.parquet(staging)
+    # A row for each split: their number grows with the input, at one for 128 MB.
+    splits = staged.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    heads = F.when(F.row_number().over(Window.partitionBy("file").orderBy("block")) == 1, 1).otherwise(0)
+    splits = splits.withColumn("head", heads).withColumn("before", F.coalesce(F.sum(F.col("n") - F.col("head")).over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = staged.join(splits, ["file", "block"]).withColumn("at", F.col("id") - F.col("least") + 1 - F.col("head"))
+    own = [F.coalesce(F.col(f"cells.c{i}"), F.lit("")).alias(f"c{i}") for i in range(len(header))]
+    heads = placed.filter("at = 0").select(F.regexp_replace(F.to_json("cells"), "\ufeff", "").alias("h")).distinct().limit(2).collect()
+    if len(heads) > 1:
+        raise HeaderDetectionError(f"{name}: its files have different headers")
+    table = placed.filter("at > 0").select((F.col("before") + F.col("at")).alias("src_row"), *own)
+    bad = staged.filter("wrong IS NOT NULL").groupBy("wrong").count().orderBy("wrong").first()
+    if bad and bad.wrong == "encoding":
+        raise EncodingDetectionError(f"{name}: {bad['count']} lines are not UTF-8")
+    if bad:
+        raise DelimitedParseError(f"{name}: {bad['count']} lines have " + ("more fields than the header" if bad.wrong == "long" else "a quote that does not close"))
+    size = staged.agg(F.sum(F.col("bytes").cast("long") + 1)).first()[0]
+    r = table.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*table.columns).cast("decimal(38,0)")).alias("h")).first()
+    identity = hashlib.sha256(f"{header}:{r.n}:{r.h}".encode()).hexdigest()
+    return Scanned(name, "delimited", "utf-8", header, [], {}, table, r.n), size, identity
+
+
 def scan_fixed_large(spark: SparkSession, path: str, spec: specs.Spec) -> DataFrame:
     """Fixed-width UTF-8 files of any size, by Spark's line reader."""
     line = F.col("value")

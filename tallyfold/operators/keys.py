@@ -22,7 +22,9 @@ def round3(x: float) -> float:
 
 def value_sets(df: DataFrame, columns: list[str], ascii_only: bool = False) -> DataFrame:
     """col, norm and n: the distinct normalised values of each column and how often each occurs."""
-    long = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]).unpivot([], columns, "col", "value").filter("value IS NOT NULL")
+    # Not unpivot(): code generation fails where expressions share a part that reads what it gives.
+    each = [F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]
+    long = df.select(F.explode(F.array(*each)).alias("_v")).select("_v.*").filter("value IS NOT NULL")
     return long.groupBy("col", norm_key(F.col("value"), "smart", ascii_only).alias("norm")).agg(F.count("*").alias("n"))
 
 

@@ -7,6 +7,10 @@ catch equal darts in every document. Each dart names one coordinate; the earlies
 are thrown as cover all coordinates with near certainty, and more where one is left empty. Two documents agree in a coordinate
 with the probability of their weighted Jaccard similarity.
 
+Pairs are defined by their sets of shingles, whose similarity can be far above the weighted one where shingles repeat. So a
+text in which any does also has the signature of its plain set (each shingle once), bands of both, and what rules pairs out before
+the exact check is the plain sets' signature. Where nothing repeats the two signatures are one.
+
 Documents with equal shingles are one class before anything is joined. A band's bucket of many classes gives a pair of
 each with a leader; pairs are confirmed by the exact Jaccard similarity of their sets of shingles. Where members are not
 all of one component by then, bounds and shingles that the leader lacks find the further pairs (see linked()): no link between
@@ -122,8 +126,16 @@ def _key(shingles_: np.ndarray) -> bytes:
     return hashlib.sha256(shingles_.tobytes()).digest()[:16]
 
 
+def _banded(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The bands' hashes of each signature; a band's hash is its own."""
+    band = sig[:, ::rows].copy()
+    for j in range(1, rows):
+        band = mix(band * GOLD + sig[:, j::rows])
+    return mix(band + np.arange(bands, dtype=np.uint64))
+
+
 def described(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame:
-    """doc_id, key (of the ordered shingles), size (how many), bands' hashes, the signature's low bytes, and whether shingles repeat."""
+    """doc_id, key (of the ordered shingles), size (how many), hashes of the bands of either signature, and the plain set's signature's low bytes."""
     k = bands * rows
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -131,19 +143,21 @@ def described(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame
         n = b.num_rows
         text, element, unit = weighted(raw, first)
         sig = signatures(text, element, unit, n, k)
-        band = sig[:, ::rows].copy()
-        for j in range(1, rows):
-            band = mix(band * GOLD + sig[:, j::rows])
-        band = mix(band + np.arange(bands, dtype=np.uint64))  # a band's hash is its own
-        repeats = np.bincount(text[unit > 0], minlength=n) > 0.01 * np.diff(first)
+        band = _banded(sig, bands, rows)
+        repeats = np.bincount(text[unit > 0], minlength=n) > 0
+        once = (unit == 0) & repeats[text]
+        plain = np.where(repeats[:, None], signatures(text[once], element[once], unit[once], n, k), sig)
+        more = _banded(plain, bands, rows)
+        own = np.hstack([np.ones((n, bands), bool), more != band])  # a text is in a bucket once
+        ends = np.concatenate([[0], np.cumsum(own.sum(1))])
         keys = [_key(raw[first[i] : first[i + 1]]) for i in range(n)]
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(band.view(np.int64).ravel()))
-        low = [r.tobytes() for r in (sig >> np.uint64(40)).astype(np.uint8)]
-        cols = [b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(np.diff(first), pa.int64()), lists, pa.array(low, pa.binary()), pa.array(repeats)]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "size", "bands", "sig", "repeats"])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.hstack([band, more])[own].view(np.int64)))
+        low = [r.tobytes() for r in (plain >> np.uint64(40)).astype(np.uint8)]
+        cols = [b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(np.diff(first), pa.int64()), lists, pa.array(low, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "size", "bands", "sig"])
 
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows_.mapInArrow(in_slices(run, most=2 << 20), "doc_id long, key binary, size long, bands array<long>, sig binary, repeats boolean")
+    return rows_.mapInArrow(in_slices(run, most=2 << 20), "doc_id long, key binary, size long, bands array<long>, sig binary")
 
 
 def sets_of(docs: DataFrame, need: DataFrame, shingle: int) -> DataFrame:
@@ -160,11 +174,7 @@ def sets_of(docs: DataFrame, need: DataFrame, shingle: int) -> DataFrame:
 
 
 def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Pairs whose signatures don't rule them out: agreement four deviations and more below `least` does.
-
-    Signatures tell the weighted similarity; where shingles repeat, it can be well below that of the sets, and pairs stay on
-    half of `least` already.
-    """
+    """Pairs whose plain sets' signatures don't rule them out: agreement 4.5 deviations and more below `least` does."""
 
     def run(batches):
         for b in batches:
@@ -172,13 +182,12 @@ def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
                 continue
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("x", "y"))
             same = ((x == y).mean(1) - 1 / 256) / (255 / 256)
-            k = x.shape[1]
-            bound = np.where(np.array(b.column("repeats").to_pylist(), bool), least / 2, least - 4.5 * np.sqrt(least * (1 - least) / k))
+            bound = least - 4.5 * np.sqrt(least * (1 - least) / x.shape[1])
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(same >= bound))
 
-    out = pairs.join(reps.select(F.col("class").alias("a"), F.col("sig").alias("x"), F.col("repeats").alias("r")), "a")
-    out = out.join(reps.select(F.col("class").alias("b"), F.col("sig").alias("y"), F.col("repeats").alias("q")), "b")
-    return out.select("a", "b", "x", "y", (F.col("r") | F.col("q")).alias("repeats")).mapInArrow(run, "a long, b long")
+    out = pairs.join(reps.select(F.col("class").alias("a"), F.col("sig").alias("x")), "a")
+    out = out.join(reps.select(F.col("class").alias("b"), F.col("sig").alias("y")), "b")
+    return out.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -305,7 +314,7 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
     copies = written(all_.groupBy("key").agg(F.min("doc_id").alias("class")).withColumn("class", F.coalesce("class", F.lit(-1).cast("long"))), "part")
     # By class, which is one row's doc_id: a key however frequent makes no hot task here.
     one = all_.withColumn("class", F.coalesce("doc_id", F.lit(-1).cast("long"))).filter("size > 0")
-    reps = written(one.join(copies, ["class", "key"]).dropDuplicates(["class"]).select("class", "key", "bands", "sig", "repeats"), "classes")
+    reps = written(one.join(copies, ["class", "key"]).dropDuplicates(["class"]).select("class", "key", "bands", "sig"), "classes")
     found = linked(docs, reps, least, shingle)
     named = copies.join(found, copies["class"] == found["node"], "left").select("key", F.col("class").alias("copy_id"), F.coalesce("root", "class").alias("class_id"))
     return all_.select("doc_id", "key").join(named, "key").select("doc_id", "copy_id", "class_id")

@@ -164,6 +164,26 @@ def test_minhash(spark, none):
     assert minhash.classes(none.select("doc_id", "text")).count() == 0
 
 
+def test_minhash_repeats(spark):
+    """Near-equal sets of shingles with other repeat counts, in one text and in both, against brute force over all pairs."""
+    rows = []
+    for f in range(12):
+        w = words(120, 50 + f).split()
+        edited = [*w[:60], "edit", *w[61:]]
+        for j, (block, times) in enumerate([(w, 1), (w[-10:], 30), (w[-10:], 8), (w[-25:], 6), (edited[-10:], 15)]):
+            rows.append((10 * f + j, " ".join((edited if j == 4 else w) + block * (times if j else 0))))
+        rows.append((10 * f + 9, " ".join(w[:40] + w[-10:] * 30)))  # much the same by weight, not by set
+    sets = [shingle_set(t) for _, t in rows]
+    near = {}
+    for (i, _), x in zip(rows, sets, strict=True):
+        near[i] = {j for (j, _), y in zip(rows, sets, strict=True) if len(x & y) >= 0.8 * len(x | y)}
+    for _ in rows:
+        near = {i: set().union(*(near[j] for j in js)) for i, js in near.items()}
+    assert {len(js) for js in near.values()} == {1, 5}
+    got = {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: min(js) for i, js in near.items()}
+
+
 def test_signature_estimates():
     r = np.random.default_rng(2)
     a = r.integers(0, 2**63, 400).astype(np.uint64)

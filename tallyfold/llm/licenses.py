@@ -1,6 +1,7 @@
 """License scans by ordered signature rules. DataFrame functions only.
 
-A rule is a regular expression with a label, a keyword any match contains, and a priority. A text that holds none of the
+A rule is a regular expression with a label, a keyword any match contains, and a priority. Keywords hold no white space, as a
+match may be wrapped or spaced in any way between its words. A text that holds none of the
 rules' shortest common strings runs no expression; otherwise only rules whose keyword it holds run. Each gives its matches' intervals; one that lies
 within another of higher priority (or of like priority and longer, or equal and of an earlier rule) is suppressed. What is
 left are the text's detections. All of it happens within the row: nothing is shuffled.
@@ -66,13 +67,13 @@ FORMS = [
 TAG = (r"spdx-license-identifier:\s*{}(?![a-z0-9.+-])", 40, 0.95)
 #: Statements without a family's name: label, keyword, pattern, priority, weight.
 TEXTS = [
-    ("mit", "free of charge", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge,?\s+to\s+any\s+person", 35, 0.9),
+    ("mit", "charge", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge,?\s+to\s+any\s+person", 35, 0.9),
     ("bsd", "redistribution", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms", 35, 0.9),
-    ("isc", "permission to use", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software", 35, 0.8),
-    ("gpl", "free software", r"this\s+program\s+is\s+free\s+software[:;]?\s+you\s+can\s+redistribute\s+it", 35, 0.85),
-    ("lgpl", "free software", r"this\s+library\s+is\s+free\s+software[:;]?\s+you\s+can\s+redistribute\s+it", 36, 0.85),
-    ("public-domain", "public domain", r"(?:released|placed|dedicated)\s+(?:in)?to\s+the\s+public\s+domain", 30, 0.7),
-    ("proprietary", "all rights reserved", r"all\s+rights\s+reserved", 10, 0.3),
+    ("isc", "permission", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software", 35, 0.8),
+    ("gpl", "redistribute", r"this\s+program\s+is\s+free\s+software[:;]?\s+you\s+can\s+redistribute\s+it", 35, 0.85),
+    ("lgpl", "redistribute", r"this\s+library\s+is\s+free\s+software[:;]?\s+you\s+can\s+redistribute\s+it", 36, 0.85),
+    ("public-domain", "domain", r"(?:released|placed|dedicated)\s+(?:in)?to\s+the\s+public\s+domain", 30, 0.7),
+    ("proprietary", "reserved", r"all\s+rights\s+reserved", 10, 0.3),
     ("proprietary", "confidential", r"(?:proprietary\s+and\s+confidential|confidential\s+and\s+proprietary)", 15, 0.5),
 ]
 

@@ -270,6 +270,38 @@ def test_license_rules(spark):
     assert set(r.labels) == {"apache", "mit"} and 0 < r.score <= 1
 
 
+STATEMENTS = [
+    "permission is hereby granted, free of charge, to any person",
+    "redistribution and use in source and binary forms",
+    "permission to use, copy, modify, and/or distribute this software",
+    "this program is free software: you can redistribute it",
+    "this library is free software; you can redistribute it",
+    "placed into the public domain",
+    "all rights reserved",
+    "proprietary and confidential",
+]
+
+
+@pytest.mark.parametrize("gap", ["\n", "  ", "\t", "\r\n    "])
+def test_license_rules_wrapped(spark, gap):
+    """Every rule on a statement of its own, wrapped at all of its spaces, against the expressions alone."""
+    rs = licenses.rules()
+    names = [f"released under the terms of the {n} license, version 2.0" for _, ns, _ in licenses.FAMILIES for n in ns]
+    names += [f"{lead} {n} licence{tail}" for _, ns, _ in licenses.FAMILIES for n in ns for lead, tail in (("the", ", v. 3"), ("subject to the", ""), ("a", ""))]
+    names += [f"spdx-license-identifier: {i}" for _, _, ids in licenses.FAMILIES for i in ids]
+    texts = [t.replace(" ", gap) for t in STATEMENTS + names]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: sorted((f["rule"], f["start"], f["end"]) for f in r.found) for r in licenses.scan(docs).collect()}
+    seen = set()
+    for k, text in enumerate(texts):
+        every = [(i, m.start(), m.end(), x.priority) for i, x in enumerate(rs) for m in re.finditer(x.pattern, text)]
+        seen |= {x[0] for x in every}
+        beaten = lambda x, y: y[1] <= x[1] and y[2] >= x[2] and (y[3], y[2] - y[1], -y[0]) > (x[3], x[2] - x[1], -x[0])
+        assert got[k] == sorted(x[:3] for x in every if not any(beaten(x, y) for y in every)), text
+    assert seen == set(range(len(rs)))
+    assert not any(re.search(r"\s", r.keyword + r.gate) for r in rs)
+
+
 def test_classifiers(spark, none):
     """Held-out accuracy on the small table; scores of odd rows; no labels at all."""
     d = "/root/testdata/sf0.01"

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small rows with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import inspect
 import re
 import zlib
 
@@ -317,6 +318,10 @@ def test_classifiers(spark, none):
         assert module.score(none.select("doc_id", "text"), model).count() == 0
 
 
+def test_quality_sample():
+    assert inspect.signature(quality.fit).parameters["sample"].default == 3000
+
+
 def test_gapped_insults():
     """One decision for a string and weights by subsequence: the collapsed form equals the kernel's."""
     rows = toxicity.as_rows(["idiot", "id-iot", "house"])

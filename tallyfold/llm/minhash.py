@@ -18,7 +18,8 @@ different texts of a bucket is lost, and copies, however many, are never expande
 lineage; nothing but counts comes to the driver.
 
 Null and empty texts have no shingles: each is a class of its own kind (all of them one class of equal texts), never linked. A
-document that repeats is a member each time. An empty table gives no rows. Rows with a null doc_id are members of their class.
+document that repeats is a member each time. An empty table gives no rows. Rows with a null doc_id are members of their class; one of such rows
+only has a null copy_id, a group of them a null class_id. A row's doc_id and the hash of its text (mark) find it again: different texts may have one doc_id.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import flat, in_slices, text_of, written
@@ -121,6 +122,10 @@ def _throw(rank: np.ndarray, value: np.ndarray, base: np.ndarray, r: np.ndarray,
     value[cell[won]] = dart[won]
 
 
+def _or_none(doc_id: str) -> Column:
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-1).cast("long"))
+
+
 def _key(shingles_: np.ndarray) -> bytes:
     """Of the ordered shingles: equal for copies."""
     return hashlib.sha256(shingles_.tobytes()).digest()[:16]
@@ -135,7 +140,7 @@ def _banded(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame:
-    """doc_id, key (of the ordered shingles), size (how many), hashes of the bands of either signature, and the plain set's signature's low bytes."""
+    """doc_id, mark (of the text as it is), key (of the ordered shingles), size (how many), hashes of the bands of either signature, and the plain set's signature's low bytes."""
     k = bands * rows
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -153,15 +158,15 @@ def described(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame
         keys = [_key(raw[first[i] : first[i + 1]]) for i in range(n)]
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.hstack([band, more])[own].view(np.int64)))
         low = [r.tobytes() for r in (plain >> np.uint64(40)).astype(np.uint8)]
-        cols = [b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(np.diff(first), pa.int64()), lists, pa.array(low, pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "size", "bands", "sig"])
+        cols = [b.column("doc_id"), b.column("mark"), pa.array(keys, pa.binary()), pa.array(np.diff(first), pa.int64()), lists, pa.array(low, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "mark", "key", "size", "bands", "sig"])
 
-    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows_.mapInArrow(in_slices(run, most=2 << 20), "doc_id long, key binary, size long, bands array<long>, sig binary")
+    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("mark"), text_of().alias("text"))
+    return rows_.mapInArrow(in_slices(run, most=2 << 20), "doc_id long, mark long, key binary, size long, bands array<long>, sig binary")
 
 
 def sets_of(docs: DataFrame, need: DataFrame, shingle: int) -> DataFrame:
-    """The set of shingles (sorted, 64-bit) of each needed class (class, key)."""
+    """The set of shingles (sorted, 64-bit) of each needed class (class, key, and its row's doc and mark)."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         raw, first = shingles(*flat(b.column("text")), n=shingle)
@@ -169,7 +174,7 @@ def sets_of(docs: DataFrame, need: DataFrame, shingle: int) -> DataFrame:
         ok = pa.array([_key(x) == k.as_py() for x, k in zip(own, b.column("key"), strict=True)], pa.bool_())
         return pa.RecordBatch.from_arrays([b.column("class"), pa.array([np.unique(x).tobytes() for x in own], pa.binary())], ["class", "shingles"]).filter(ok)
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("class"), text_of().alias("text")).join(need, "class")
+    rows = docs.select(_or_none("doc_id").alias("doc"), F.xxhash64(text_of()).alias("mark"), text_of().alias("text")).join(need, ["doc", "mark"])
     return rows.select("class", "key", "text").mapInArrow(in_slices(run), "class long, shingles binary").dropDuplicates(["class"])
 
 
@@ -261,7 +266,7 @@ def linked(docs: DataFrame, reps: DataFrame, least: float, shingle: int) -> Data
     """
     spots = reps.select("class", F.explode("bands").alias("g")).repartition("g")
     groups = written(spots.join(spots.groupBy("g").count().filter("count > 1"), "g"), "groups")
-    need = groups.select("class").distinct().join(reps, "class").select("class", "key")
+    need = groups.select("class").distinct().join(reps, "class").select("class", "key", "doc", "mark")
     sets = written(sets_of(docs, need, shingle), "sets")
     compare = lambda pairs: confirmed(likely(pairs, reps, least), sets, least)
     good, found, most = None, None, FEW
@@ -307,24 +312,51 @@ def linked(docs: DataFrame, reps: DataFrame, least: float, shingle: int) -> Data
     return found if found is not None else reps.select(F.col("class").alias("node"), F.col("class").alias("root"))
 
 
-def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, copy_id (smallest doc_id with equal shingles) and class_id (smallest of its group of near-duplicates) of every row."""
+def _classed(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, mark, copy_id, class_id and root (its group's own number) of every row."""
     all_ = written(described(docs, bands, rows, shingle), "darts")
     # Equal rows of the table meet once per task: min and the first set are combined before the shuffle.
-    copies = written(all_.groupBy("key").agg(F.min("doc_id").alias("class")).withColumn("class", F.coalesce("class", F.lit(-1).cast("long"))), "part")
-    # By class, which is one row's doc_id: a key however frequent makes no hot task here.
-    one = all_.withColumn("class", F.coalesce("doc_id", F.lit(-1).cast("long"))).filter("size > 0")
-    reps = written(one.join(copies, ["class", "key"]).dropDuplicates(["class"]).select("class", "key", "bands", "sig"), "classes")
+    copies = written(all_.groupBy("key").agg(F.min("doc_id").alias("first")), "part")
+    # A class has the number of its first document; where that is null or of several classes, all have numbers of their own.
+    odd = not copies.filter("first IS NULL").isEmpty() or not copies.groupBy("first").count().filter("count > 1").isEmpty()
+    copies = written(copies.withColumn("class", F.monotonically_increasing_id()), "part") if odd else copies.withColumn("class", F.col("first"))
+    # By doc_id too: a key however frequent makes no hot task here.
+    one = all_.withColumn("doc", _or_none("doc_id")).filter("size > 0")
+    reps = one.join(copies.select("key", "class", _or_none("first").alias("doc")), ["doc", "key"]).dropDuplicates(["class"])
+    reps = written(reps.select("class", "key", "doc", "mark", "bands", "sig"), "classes")
     found = linked(docs, reps, least, shingle)
-    named = copies.join(found, copies["class"] == found["node"], "left").select("key", F.col("class").alias("copy_id"), F.coalesce("root", "class").alias("class_id"))
-    return all_.select("doc_id", "key").join(named, "key").select("doc_id", "copy_id", "class_id")
+    named = copies.join(found, copies["class"] == found["node"], "left").select("key", F.col("first").alias("copy_id"), F.coalesce("root", "class").alias("root"))
+    if odd:
+        named = written(named, "part")
+        named = named.join(named.groupBy("root").agg(F.min("copy_id").alias("class_id")), "root")
+    else:
+        named = named.withColumn("class_id", F.col("root"))
+    return all_.select("doc_id", "mark", "key").join(named, "key").select("doc_id", "mark", "copy_id", "class_id", "root")
+
+
+def classes(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, copy_id (smallest doc_id with equal shingles) and class_id (smallest of its group of near-duplicates) of every row."""
+    return _classed(docs, **how).select("doc_id", "copy_id", "class_id")
 
 
 def keep(docs: DataFrame, **how) -> DataFrame:
     """The rows that stay, with all their columns: of each group the one with the smallest doc_id.
 
-    Of rows that repeat with one doc_id and like texts, one stays; texts without words all stay.
+    Of a group's rows that repeat with that doc_id, one stays. Texts without words are one group.
     """
-    first = classes(docs, **how)
-    gone = written(first.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("class_id"))).select("doc_id").distinct(), "part")
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = written(_classed(docs, **how), "part")
+    first = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    tied = written(rows.filter(first).groupBy("root").agg(F.count("*").alias("n"), F.min("mark").alias("least")).filter("n > 1"), "part")
+    gone = rows.filter(~first).select("doc_id", "mark")
+    marked = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_mark": F.xxhash64(text_of())})
+    own = [F.col(f"`{c}`") for c in docs.columns]
+
+    def joined(these: DataFrame, how_: str) -> DataFrame:
+        these = written(these.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).distinct(), "part")
+        return marked.join(these, marked["_doc"].eqNullSafe(these["_d"]) & (marked["_mark"] == these["_m"]), how_)
+
+    if tied.isEmpty():
+        return joined(gone, "left_anti").select(*own)
+    ties = rows.filter(first).join(tied, "root")
+    back = joined(ties.filter("mark = least"), "left_semi").dropDuplicates(["_doc", "_mark"])
+    return joined(gone.union(ties.select("doc_id", "mark")), "left_anti").select(*own).union(back.select(*own))

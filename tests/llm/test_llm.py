@@ -185,6 +185,19 @@ def test_minhash_repeats(spark):
     assert got == {i: min(js) for i, js in near.items()}
 
 
+def test_minhash_ids(spark):
+    """Texts with one doc_id or none are found, linked, kept and dropped each by itself."""
+    t = [words(60, 70 + i) for i in range(8)]
+    rows = [(3, t[0]), (5, t[0] + " end"), (5, t[1]), (None, t[2]), (None, t[3]), (None, t[3] + " end"), (None, t[0]), (7, t[4]), (7, t[4]), (8, t[5]), (8, t[5] + "!"), (9, t[1] + " end"), (6, t[6]), (6, t[6] + " end"), (11, t[7])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(str, (tuple(r) for r in minhash.classes(docs).select("doc_id", "class_id").collect())))
+    want = [(3, 3), (5, 3), (5, 5), (None, None), (None, None), (None, None), (None, 3), (7, 7), (7, 7), (8, 8), (8, 8), (9, 5), (6, 6), (6, 6), (11, 11)]
+    assert got == sorted(map(str, want))
+    kept = [tuple(r) for r in minhash.keep(docs).collect()]
+    groups = [[(3, t[0])], [(5, t[1])], [(None, t[2])], [(None, t[3]), (None, t[3] + " end")], [(7, t[4])], [(8, t[5]), (8, t[5] + "!")], [(6, t[6]), (6, t[6] + " end")], [(11, t[7])]]
+    assert len(kept) == len(groups) and all(sum(r in g for r in kept) == 1 for g in groups)
+
+
 def test_signature_estimates():
     r = np.random.default_rng(2)
     a = r.integers(0, 2**63, 400).astype(np.uint64)

@@ -335,6 +335,13 @@ def test_quality_sample():
     assert inspect.signature(quality.fit).parameters["sample"].default == 3000
 
 
+def test_bench_covers_all():
+    import bench
+    from tallyfold.llm import queries
+
+    assert {*queries.QUERIES, "pipeline"} <= set(bench.HEADLINE)
+
+
 def test_gapped_insults():
     """One decision for a string and weights by subsequence: the collapsed form equals the kernel's."""
     rows = toxicity.as_rows(["idiot", "id-iot", "house"])

@@ -266,7 +266,7 @@ def keep_clean(docs: DataFrame, bench: DataFrame, n: int = N, most_bytes: int =
     """
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.lit(0).alias("_tallyfold_none"))
     found = judged(occurrences(docs.select(rest.alias("rest"), F.col("text").cast("string").alias("text")), bench, n, most_bytes))
-    return found.filter(~F.col("contaminated")).select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])
+    return found.filter(F.col("n_hit") < least_hit).select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])
 
 
 def digests(result: DataFrame) -> DataFrame:

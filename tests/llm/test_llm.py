@@ -90,6 +90,18 @@ def naive_hits(text, items):
     return len(ws), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(ws)
 
 
+def test_leak_in_a_long_text(spark):
+    """One window of the test set among 20,000 words is far below a twentieth, and still a leak."""
+    long, leak = words(20_000, 31).split(), words(13, 32).split()
+    rows = [(1, " ".join(long), "lang"), (2, " ".join(long[:9000] + leak + long[9000:]), "lang"), (3, " ".join(leak[:12]), None), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hits string")
+    bench = spark.createDataFrame([(1, " ".join(leak)), (1, " ".join(leak * 40))], "item_id long, text string")
+    found = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontam.decontaminate(docs, bench).collect()}
+    assert found == {1: (0, 0, False), 2: (13, 1, False), 3: (0, 0, False), 4: (0, 0, False)}
+    assert sorted(r.doc_id for r in decontam.keep_clean(docs, bench).collect()) == [1, 3, 4]
+    assert len(decontam.Patterns([(1, " ".join(leak * 40))]).classes[0].first) == 13  # a window counts once for its item
+
+
 @pytest.mark.parametrize("most", [1 << 20, 300])
 def test_decontamination(spark, docs, none, most):
     long = TEXTS[6].split()
@@ -102,6 +114,9 @@ def test_decontamination(spark, docs, none, most):
     assert {g for g in got if g[0] not in (None, 5 * 7 % 23)} == {w for w in want if w[0] not in (None, 5 * 7 % 23)}
     kept = decontam.keep_clean(docs, bench, most_bytes=most)
     assert kept.columns == docs.columns
+    hits = {(d.doc_id, d.text): naive_hits(d.text, items)[1] for d in docs.collect()}
+    assert sorted(map(str, kept.collect())) == sorted(str(d) for d in docs.collect() if not hits[d.doc_id, d.text])
+    assert decontam.keep_clean(docs, bench, most_bytes=most, least_hit=20).count() == sum(hits[d.doc_id, d.text] < 20 for d in docs.collect())
     assert decontam.decontaminate(none, bench).count() == 0
     assert decontam.decontaminate(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
 

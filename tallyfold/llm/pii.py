@@ -17,6 +17,7 @@ ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -144,18 +145,33 @@ def votes(kind: int, text: str, start: int, end: int, strict: re.Pattern) -> tup
     return pattern, gazetteer, context, shape
 
 
+def merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str]]:
     """(kind, start, end, pattern of votes) of loose spans that touch neither a base span nor an earlier candidate."""
     out: list[tuple[int, int, int, str]] = []
-    spans = [(s, e) for _, s, e in taken]
+    starts, ends = merged([(s, e) for _, s, e in taken])
     for kind, hints, loose, strict in _LOOSE:
         if not any(h in text for h in hints):
             continue
         for m in loose.finditer(text):
             s, e = m.span(1)
-            if any(s < y and x < e for x, y in spans):
+            i = bisect_left(starts, e)  # the stretch before this place is the only one that can reach past s
+            if i and ends[i - 1] > s:
                 continue
-            spans.append((s, e))
+            starts.insert(i, s)
+            ends.insert(i, e)
             v = votes(kind, text, s, e, strict)
             out.append((kind, s, e, f"{kind}:{','.join(map(str, v))}:{min(3, (e - s) // 10)}"))
     return out

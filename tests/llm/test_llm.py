@@ -3,6 +3,7 @@
 import hashlib
 import inspect
 import re
+import time
 import zlib
 
 import numpy as np
@@ -139,6 +140,35 @@ def test_exact(docs, none, budget):
     assert exact.decide(none).count() == exact.keep(none).count() == 0
 
 
+def test_grace_table():
+    """Against a dictionary, with spilling at several depths, payloads that leave early, and hashes that collide."""
+    r = np.random.default_rng(3)
+    for budget, chunk in ((1 << 20, 1 << 30), (3000, 1 << 30), (3000, 5), (1, 2)):
+        t = exact.GraceTable(exact._extend, budget, lambda p: 40 * len(p or ()), lambda p, c=chunk: len(p) >= c)
+        want, got = {}, {}
+        for i in range(2000):
+            content = b"%d" % (r.integers(0, 300) if r.random() < 0.6 else 7)
+            h = hashlib.sha256(content[:2]).digest()  # unequal contents with one hash
+            t.add(h, content, [i])
+            want.setdefault(content, []).append(i)
+            for _, c, ids in t.taken():
+                got.setdefault(c, []).extend(ids)
+        for _, c, ids in t.results():
+            got.setdefault(c, []).extend(ids)
+        assert {c: sorted(x) for c, x in got.items()} == want
+        assert t.folder is None or not __import__("os").path.exists(t.folder)
+
+
+def test_exact_many_copies(spark):
+    """200,000 copies of one text, in time that grows with them."""
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit("Blank page").alias("text")).repartition(2)
+    began = time.time()
+    got = exact.decide(docs).agg(F.count("*").alias("n"), F.expr("count_if(kept)").alias("kept"), F.min("keep_id").alias("low"), F.max("keep_id").alias("high"), F.min("group_size").alias("size")).first()
+    assert tuple(got) == (200_000, 1, 199_999, 199_999, 200_000)
+    assert exact.keep(docs).first().doc_id == 199_999
+    assert time.time() - began < 40
+
+
 def shingle_set(t):
     ws = WORD.findall(low(t))
     return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
@@ -256,6 +286,24 @@ def test_pii(spark, none):
     assert pii.find(none).count() == 0
 
 
+def test_pii_many_candidates():
+    """50,000 loose spans in one text, against the plain definition on a part of it."""
+    text = "call 415-555-2671 or 1.2.3.4 now; " * 25_000 + "078-05-1120 " * 25_000
+    began = time.time()
+    found = pii.candidates(text, pii.base(text))
+    assert len(found) == 50_000 and time.time() - began < 20
+    text = "Mr. John Smith 415-555-2671 078-05-1120 password=415-555-2671 12 Main Street a at b dot com, 1.2.3.4-55-6666 " * 3
+    base, want = pii.base(text), []
+    spans = [(s, e) for _, s, e in base]
+    for kind, _, loose, _ in pii._LOOSE:
+        for m in loose.finditer(text):
+            s, e = m.span(1)
+            if not any(s < y and x < e for x, y in spans):
+                spans.append((s, e))
+                want.append((kind, s, e))
+    assert [c[:3] for c in pii.candidates(text, base)] == want and len({k for k, _, _ in want}) > 4
+
+
 def test_urls(spark):
     urls = [None, "", "x", "http://", "HTTP://WWW.Example.COM/en/a?b", "https://a.net/es/1", "https://a.net/es", "ftp://ads.x.org/login", "http://com/#f", "//a://b.com/c"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, path string")

@@ -75,6 +75,19 @@ def test_differencing():
         slot, sums = packing.partition(sizes, k)
         assert [sizes[slot == i].sum() for i in range(k)] == sums.tolist() and sums.max() - sums.min() <= 5
     assert packing.windows(np.array([600, 600, 600]), 1024).max() == 2
+    # Groups of documents as the packer makes them: nearly always one differencing, at most 1 % padding on average.
+    ran, whole = [], packing.partition
+    try:
+        packing.partition = lambda sizes, k: ran.append(k) or whole(sizes, k)
+        p = packing.Packer(0, 1024, packing.PIECE, packing.WINDOWS, packing.SLACK)
+        sizes = (np.exp(r.normal(6.3, 1.0, 6000)) + 1).astype(int)
+        for i, n in enumerate(sizes):
+            p.add(i, np.zeros(n, "<u4"))
+    finally:
+        packing.partition = whole
+    done = sum(x[2] for x in p.rows)
+    assert len(ran) <= 1.5 * (done / (packing.WINDOWS * 1016)) and done / (p.next * 1024) > 0.98
+    assert len(p.rows) < 4 * len(sizes)
 
 
 def naive_hits(text, items):

@@ -20,6 +20,7 @@ def parser() -> argparse.ArgumentParser:
     every.add_argument("--store", help="folder that keeps datasets, memory and findings")
     every.add_argument("--tolerance", help="absolute tolerance, a decimal number")
     every.add_argument("--m2m-cap", dest="m2m_cap", help="most pairs of rows of one finest key")
+    every.add_argument("--large", help="bytes beyond which a file is read in splits")
     every.add_argument("--schema-out", dest="schema_out", help="where document writes")
     every.add_argument("--fail-on-findings", action="store_true", help="exit with 1 where level 0 has findings")
     every.add_argument("--json", action="store_true", help="one JSON object on standard output")
@@ -57,7 +58,7 @@ def parser() -> argparse.ArgumentParser:
 def spec_of(text: str | None) -> dict | None:
     if text is None:
         return None
-    raw = text if text.lstrip().startswith("{") else Path(text).read_text(encoding="utf-8")
+    raw = text if text.lstrip().startswith("{") else Path(text.removeprefix("@")).read_text(encoding="utf-8")
     try:
         return json.loads(raw)
     except json.JSONDecodeError as e:
@@ -98,7 +99,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return int(e.code or 0)
     try:
         config = resolve(vars(a))
-        e = Engine(spark or SparkSession.builder.appName("tallyfold").getOrCreate(), config.store)
+        e = Engine(spark or SparkSession.builder.appName("tallyfold").getOrCreate(), config.store, config.large)
         result = perform(e, a, config)
     except UsageError as e:
         print(f"error(UsageError): {e}", file=sys.stderr)

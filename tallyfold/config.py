@@ -16,6 +16,7 @@ class Config:
     schema_out: str = "./tallyfold-schema.md"
     tolerance: str = "0.01"
     m2m_cap: int = 10_000
+    large: int = 64 << 20
 
 
 def env_file(path: Path) -> dict[str, str]:
@@ -36,13 +37,12 @@ def resolve(flags: dict[str, object], env: dict[str, str] | None = None, home: P
                 found[name] = v
         if flags.get(name) is not None:
             found[name] = str(flags[name])
-    if not found.get("m2m_cap", "0").isdigit():
-        raise UsageError(f"the cap of row pairs must be a whole number, not {found['m2m_cap']!r}")
+    for name, what in (("m2m_cap", "cap of row pairs"), ("large", "size of a large file")):
+        if not found.get(name, "0").isdigit():
+            raise UsageError(f"the {what} must be a whole number, not {found[name]!r}")
     try:
         if Decimal(found.get("tolerance", "0")) < 0:
             raise UsageError("the tolerance must not be negative")
     except InvalidOperation:
         raise UsageError(f"the tolerance must be a decimal number, not {found['tolerance']!r}") from None
-    if "m2m_cap" in found:
-        return Config(**{**found, "m2m_cap": int(found["m2m_cap"])})
-    return Config(**found)
+    return Config(**{k: int(v) if k in ("m2m_cap", "large") else v for k, v in found.items()})

@@ -6,10 +6,8 @@ import hashlib
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Fixed set: white space as trimmed from cells.
 SPACE = r"[\s   -     　﻿]"
@@ -23,21 +21,20 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(trim_all(c), F.lit(""))
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def nfkc(c: Column) -> Column:
+    """Unicode's compatible composition, by the library that Spark brings along: no Python worker, and only for values beyond ASCII.
 
+    Spark takes calls by reflection for nondeterministic: put this in a projection of its own, not in grouping or join expressions.
+    """
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(True))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), composed).otherwise(c)
 
-def nfkc(c: Column, ascii_only: bool = False) -> Column:
-    """Unicode's compatible composition. ascii_only: the caller knows that there is nothing to do."""
-    return c if ascii_only else F.when(c.rlike(r"[^\x00-\x7F]"), _nfkc(c)).otherwise(c)
 
-
-def norm_key(c: Column, mode: str = "smart", ascii_only: bool = False) -> Column:
+def norm_key(c: Column, mode: str = "smart") -> Column:
     """smart: codes of digits with spaces, dots, slashes and dashes lose these and leading zeros, all else its case. raw: as is."""
     if mode == "raw":
         return c
-    t = trim_all(nfkc(c.cast("string"), ascii_only))
+    t = trim_all(nfkc(c.cast("string")))
     digits = F.regexp_replace(F.regexp_replace(t, r"[^0-9]", ""), r"^0+(?=[0-9])", "")
     return F.when(t.rlike(r"^[0-9][0-9 .\-/]*$"), digits).otherwise(F.lower(t))
 

@@ -41,8 +41,8 @@ def compute(df: DataFrame, encoding: str, columns: list[Column], rows: int, salt
     sketched = [c.name for c in columns if c.type != "decimal" and 0 < c.distinct <= SKETCH_CAP]
     sketch: dict[str, list[str]] = {}
     if sketched:
-        top = top_values(df, sketched).withColumn("h", hmac16(F.lower(nfkc(F.col("value"))), salt))
-        for r in top.groupBy("col").agg(F.sort_array(F.collect_set("h")).alias("hs")).collect():  # 20 a column at most
+        top = top_values(df, sketched).withColumn("v", F.lower(nfkc(F.col("value"))))
+        for r in top.withColumn("h", hmac16(F.col("v"), salt)).groupBy("col").agg(F.sort_array(F.collect_set("h")).alias("hs")).collect():  # 20 a column at most
             sketch[r["col"]] = list(r.hs)
     round3 = lambda x: math.floor(x * 1000 + 0.5) / 1000
     return Fingerprint(

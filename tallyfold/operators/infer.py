@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.errors import NumberFormatError, SchemaMismatchError
+from tallyfold.errors import NumberFormatError
 from tallyfold.functions.dates import parse_date
 from tallyfold.functions.decimals import INTEGER, LEADING_ZERO, TYPE, evidence, number_format, parse_decimal
 from tallyfold.functions.text import blank_to_null
@@ -22,6 +22,7 @@ class Column:
     format: str | None
     nulls: int = 0
     distinct: int = 0
+    as_text: bool = False  # said to be integers, but some value is none: kept as written
 
 
 def trimmed(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -29,7 +30,11 @@ def trimmed(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def infer(df: DataFrame, columns: list[str], hint: str | None = None, rounding: bool = False, forced: dict[str, tuple[str, str | None]] | None = None) -> list[Column]:
-    """Types of trimmed text columns. Dates come before integers, these before decimals; all else is text."""
+    """Types of trimmed text columns. Dates come before integers, these before decimals; all else is text.
+
+    A forced date or decimal that a value doesn't fit is an error: no amount goes missing. Forced integers that some value
+    doesn't fit are kept as they are written.
+    """
     forced = forced or {}
     if not columns:
         return []
@@ -58,8 +63,11 @@ def infer(df: DataFrame, columns: list[str], hint: str | None = None, rounding:
         if name in forced:
             kind, given = forced[name]
             if kind == "date" and r[f"n{i}"] and not r[f"date{i}"]:
-                raise SchemaMismatchError(f"{name}: a value is no date")
-            out.append(Column(name, kind, (given or fmt or hint or "standard") if kind == "decimal" else None, r[f"null{i}"]))
+                raise NumberFormatError(f"{name}: a value is no date")
+            own = (given or fmt or hint or "standard") if kind == "decimal" else None
+            if own and r[f"n{i}"] and not r[f"{own}{i}"]:
+                raise NumberFormatError(f"{name}: a value is no amount of the {own} format")
+            out.append(Column(name, kind, own, r[f"null{i}"], as_text=kind == "integer" and bool(r[f"n{i}"]) and not r[f"int{i}"]))
         elif not r[f"n{i}"]:
             out.append(Column(name, "text", None, r[f"null{i}"]))
         elif r[f"date{i}"]:
@@ -74,28 +82,32 @@ def infer(df: DataFrame, columns: list[str], hint: str | None = None, rounding:
 
 
 def canonical(df: DataFrame, columns: list[Column], rounding: bool = False) -> DataFrame:
-    """Typed columns: date, bigint, decimal(28,6) or text."""
+    """Typed columns: date, bigint, decimal(28,6) or text; of values that the types of infer() fit."""
     made = {}
     for c in columns:
         v = F.col(f"`{c.name}`")
         if c.type == "date":
             made[c.name] = parse_date(v)
-        elif c.type == "integer":
+        elif c.type == "integer" and not c.as_text:
             made[c.name] = v.try_cast("bigint")
         elif c.type == "decimal":
             made[c.name] = parse_decimal(v, c.format or "standard", rounding).cast(TYPE)
     return df.withColumns(made) if made else df
 
 
+def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
+    """col and value (as a text) of every cell. Names may hold any character."""
+    each = [F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]
+    return df.select(F.explode(F.array(*each)).alias("_v")).select("_v.*")
+
+
 def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """col, rows, nulls and distinct non-null values, exactly: values counted once each by one shuffle."""
-    long = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]).unpivot([], columns, "col", "value")
-    each = long.groupBy("col", "value").agg(F.count("*").alias("n"))
+    each = long_form(df, columns).groupBy("col", "value").agg(F.count("*").alias("n"))
     return each.groupBy("col").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("value").alias("distinct"))
 
 
 def top_values(df: DataFrame, columns: list[str], k: int = TOP) -> DataFrame:
     """The k most frequent values of each column (ties by value), with their rank."""
-    long = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]).unpivot([], columns, "col", "value").filter("value IS NOT NULL")
-    counts = long.groupBy("col", "value").agg(F.count("*").alias("freq"))
+    counts = long_form(df, columns).filter("value IS NOT NULL").groupBy("col", "value").agg(F.count("*").alias("freq"))
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("col").orderBy(F.desc("freq"), "value"))).filter(F.col("rank") <= k)

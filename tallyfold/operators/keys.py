@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions.text import jaro_winkler, norm_key
-from tallyfold.operators.infer import Column
+from tallyfold.operators.infer import Column, long_form
 from tallyfold.operators.reconcile import Mapping
 
 NAME_SIM, HIGH_UNIQUE, MOST = 0.5, 0.9, 20
@@ -20,17 +20,15 @@ def round3(x: float) -> float:
     return math.floor(x * 1000 + 0.5) / 1000
 
 
-def value_sets(df: DataFrame, columns: list[str], ascii_only: bool = False) -> DataFrame:
-    """col, norm and n: the distinct normalised values of each column and how often each occurs."""
-    # Not unpivot(): code generation fails where expressions share a part that reads what it gives.
-    each = [F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]
-    long = df.select(F.explode(F.array(*each)).alias("_v")).select("_v.*").filter("value IS NOT NULL")
-    return long.groupBy("col", norm_key(F.col("value"), "smart", ascii_only).alias("norm")).agg(F.count("*").alias("n"))
+def value_sets(df: DataFrame, columns: list[str]) -> DataFrame:
+    """col, norm and n: the distinct normalised values of each column and how often each occurs. Values are counted as written first."""
+    written = long_form(df, columns).filter("value IS NOT NULL").groupBy("col", "value").agg(F.count("*").alias("n"))
+    return written.select("col", norm_key(F.col("value")).alias("norm"), "n").groupBy("col", "norm").agg(F.sum("n").alias("n"))
 
 
-def overlaps(a: DataFrame, b: DataFrame, cols_a: list[str], cols_b: list[str], ascii_only: bool = False) -> DataFrame:
+def overlaps(a: DataFrame, b: DataFrame, cols_a: list[str], cols_b: list[str]) -> DataFrame:
     """col_a, col_b, distinct values and non-nulls of either, and common values, of all pairs of columns: one join."""
-    x, y = value_sets(a, cols_a, ascii_only), value_sets(b, cols_b, ascii_only)
+    x, y = value_sets(a, cols_a), value_sets(b, cols_b)
     size = lambda v, s: v.groupBy(F.col("col").alias(f"col_{s}")).agg(F.count("*").alias(f"distinct_{s}"), F.sum("n").alias(f"rows_{s}"))
     common = x.select(F.col("col").alias("col_a"), "norm").join(y.select(F.col("col").alias("col_b"), "norm"), "norm").groupBy("col_a", "col_b").agg(F.count("*").alias("common"))
     every = size(x, "a").crossJoin(size(y, "b"))  # a row for each pair of columns

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -39,25 +42,67 @@ def _norm(which: str, keys: list[Mapping]) -> list[Column]:
     return [norm_key(F.col(f"`{m.col_a if which == 'a' else m.col_b}`").cast("string"), m.mode) for m in keys]
 
 
-def side(df: DataFrame, which: str, keys: list[Mapping], compares: list[Mapping], displays: list[Mapping] = ()) -> DataFrame:
-    """One side by normalised keys: sums, rows, a key as written (the smallest), and what is shown of it where all its rows agree."""
+def _native(a: DataFrame, b: DataFrame, keys: list[Mapping]) -> list[str | None]:
+    """The type of each key that both sides hold in one plain type and that is compared as it is; others are texts."""
+    x, y = dict(a.dtypes), dict(b.dtypes)
+    plain = ("bigint", "int", "smallint", "tinyint", "date")
+    return [t if m.mode == "raw" and (t := x.get(m.col_a)) == y.get(m.col_b) and t in plain else None for m in keys]
+
+
+def _names(n: int) -> list[str]:
+    """A key is a value without nulls and whether it stands for one: grouping and joining are plain equality."""
+    return [f"{x}{i}" for i in range(n) for x in "kz"]
+
+
+def _key(i: int) -> Column:
+    """The normalised key as a text, null where it is."""
+    return F.when(~F.col(f"z{i}"), F.col(f"k{i}").cast("string"))
+
+
+def side(df: DataFrame, which: str, keys: list[Mapping], compares: list[Mapping], displays: list[Mapping] = (), native: list[str | None] = ()) -> DataFrame:
+    """One side by normalised keys: sums, rows, smart keys as written (the smallest), and the least and greatest of what is displayed.
+
+    Aggregates of texts can't be hashed, so rows are first added up by their keys as written; the texts' aggregates see only these.
+    """
     col = lambda m: F.col(f"`{m.col_a if which == 'a' else m.col_b}`")
-    norm = [c.alias(f"k{i}") for i, c in enumerate(_norm(which, keys))]
-    aggs = [F.coalesce(F.sum(col(m).cast(TYPE)), F.lit(0)).cast(SUM).alias(f"{which}_v{j}") for j, m in enumerate(compares)]
-    aggs += [F.count("*").alias(f"rows_{which}"), *[F.min(col(m).cast("string")).alias(f"{which}_k{i}") for i, m in enumerate(keys)]]
-    aggs += [F.when(F.min(c) == F.max(c), F.min(c)).alias(f"{which}_d{i}") for i, m in enumerate(displays) for c in [col(m).cast("string")]]
-    return df.groupBy(*norm).agg(*aggs)
+    native = native or [None] * len(keys)
+    norm = _norm(which, keys)
+    zero = lambda t: F.lit("1970-01-01" if t == "date" else "" if t is None else 0).cast(t or "string")
+    base = []
+    for i, (m, t) in enumerate(zip(keys, native, strict=True)):
+        k = col(m) if t else norm[i]
+        base += [F.coalesce(k, zero(t)).alias(f"k{i}"), k.isNull().alias(f"z{i}")]
+    smart = [i for i, m in enumerate(keys) if m.mode != "raw"]
+    base += [col(keys[i]).cast("string").alias(f"{which}_r{i}") for i in smart]
+    base += [col(m).cast("string").alias(f"{which}_d{i}") for i, m in enumerate(displays)]
+    base += [F.coalesce(col(m).cast(TYPE), F.lit(0)).cast(TYPE).alias(f"{which}_v{j}") for j, m in enumerate(compares)]
+    rows, names = df.select(*base), _names(len(keys))
+    texts = [f"{which}_r{i}" for i in smart] + [f"{which}_d{i}" for i in range(len(displays))]
+    sums = [F.sum(f"{which}_v{j}").cast(SUM).alias(f"{which}_v{j}") for j in range(len(compares))]
+    out = rows.groupBy(*names, *texts).agg(*sums, F.count("*").alias(f"rows_{which}"))
+    if not texts:
+        return out
+    least = [F.min(f"{which}_r{i}").alias(f"{which}_r{i}") for i in smart]
+    ends = [f(f"{which}_d{i}").alias(f"{which}_{n}{i}") for i in range(len(displays)) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    return out.groupBy(*names).agg(*sums, F.sum(f"rows_{which}").alias(f"rows_{which}"), *least, *ends)
 
 
 def joined(a: DataFrame, b: DataFrame, keys: list[Mapping], compares: list[Mapping], displays: list[Mapping] = ()) -> DataFrame:
-    """Both sides of every key; null keys meet null keys."""
-    x, y = side(a, "a", keys, compares, displays), side(b, "b", keys, compares, displays)
-    names = [f"k{i}" for i in range(len(keys))]
-    y = y.withColumnsRenamed({k: f"{k}_b" for k in names})
-    on = _all([F.col(k).eqNullSafe(F.col(f"{k}_b")) for k in names])
-    out = x.join(y, on, "full_outer")
-    have_a = F.col("rows_a").isNotNull()
-    return out.withColumns({k: F.when(have_a, F.col(k)).otherwise(F.col(f"{k}_b")) for k in names}).drop(*[f"{k}_b" for k in names])
+    """Both sides of every key; null keys meet null keys. Each side is shuffled once: the join takes what the grouping has dealt."""
+    native = _native(a, b, keys)
+    x, y = side(a, "a", keys, compares, displays, native), side(b, "b", keys, compares, displays, native)
+    return x.join(y, _names(len(keys)), "full_outer")
+
+
+def rolled(both: DataFrame, keys: list[Mapping], compares: list[Mapping], displays: list[Mapping]) -> DataFrame:
+    """joined() of these keys from joined() of these and further ones."""
+    smart = [i for i, m in enumerate(keys) if m.mode != "raw"]
+    aggs = []
+    for w in "ab":
+        aggs += [F.sum(f"{w}_v{j}").cast(SUM).alias(f"{w}_v{j}") for j in range(len(compares))]
+        aggs += [F.sum(f"rows_{w}").alias(f"rows_{w}"), *[F.min(f"{w}_r{i}").alias(f"{w}_r{i}") for i in smart]]
+        aggs += [f(f"{w}_{n}{i}").alias(f"{w}_{n}{i}") for i in range(len(displays)) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    return both.groupBy(*_names(len(keys))).agg(*aggs)
 
 
 def _all(cs: list[Column]) -> Column:
@@ -67,33 +112,47 @@ def _all(cs: list[Column]) -> Column:
     return out
 
 
-def bucketed(both: DataFrame, keys: list[Mapping], compares: list[Mapping], level: int, policy: Policy = Policy()) -> DataFrame:
-    """A row for each key and compared column with bucket, values, delta and severity."""
+def bucketed(both: DataFrame, keys: list[Mapping], compares: list[Mapping], displays: list[Mapping], level: int, policy: Policy = Policy()) -> DataFrame:
+    """A row for each key and compared column with bucket, values, delta, severity, the key as written, and a note of what is displayed."""
     tol = F.lit(policy.tolerance).cast(SUM)
     stacked = F.explode(F.array(*[F.struct(F.lit(f"{m.col_a}={m.col_b}").alias("compare_col"), F.col(f"a_v{j}").alias("value_a"), F.col(f"b_v{j}").alias("value_b")) for j, m in enumerate(compares)]))
-    out = both.withColumn("_c", stacked).select("*", "_c.*").drop("_c", *[f"{s}_v{j}" for s in "ab" for j in range(len(compares))])
+    shown = [(F.coalesce(f"a_r{i}", f"b_r{i}") if m.mode != "raw" else _key(i)).alias(m.col_a) for i, m in enumerate(keys)]
+    same = lambda w, i: F.when(F.col(f"{w}_lo{i}") == F.col(f"{w}_hi{i}"), F.col(f"{w}_lo{i}"))
+    note = F.to_json(F.struct(*[F.coalesce(same("a", i), same("b", i)).alias(m.col_a) for i, m in enumerate(displays)])) if displays else F.lit(None).cast("string")
+    out = both.select(*_names(len(keys)), "rows_a", "rows_b", F.to_json(F.struct(*shown)).alias("key_json"), note.alias("note"), stacked.alias("_c")).select("*", "_c.*").drop("_c")
     only_a, only_b = F.col("rows_b").isNull(), F.col("rows_a").isNull()
     delta = F.when(only_a, F.col("value_a")).when(only_b, -F.col("value_b")).otherwise(F.col("value_a") - F.col("value_b")).cast(SUM)
     out = out.withColumns({"delta": delta, "level": F.lit(level), "rows_a": F.coalesce("rows_a", F.lit(0).cast("long")), "rows_b": F.coalesce("rows_b", F.lit(0).cast("long"))})
     bucket = F.when(F.col("rows_b") == 0, "ONLY_A").when(F.col("rows_a") == 0, "ONLY_B").when(F.abs("delta") <= tol, "MATCH").otherwise("DIFFER")
     large = F.abs("delta") >= (tol * policy.large).cast(SUM)
     severity = F.lit("low") if level else F.when(F.col("bucket").isin("ONLY_A", "ONLY_B") | large, "high").otherwise("medium")
-    out = out.withColumn("bucket", bucket).withColumn("severity", F.when(F.col("bucket") != "MATCH", severity))
-    shown = F.to_json(F.struct(*[F.coalesce(F.col(f"a_k{i}"), F.col(f"b_k{i}")).alias(m.col_a) for i, m in enumerate(keys)]))
-    return out.withColumn("key_json", shown).drop(*[f"{s}_k{i}" for s in "ab" for i in range(len(keys))])
+    return out.withColumn("bucket", bucket).withColumn("severity", F.when(F.col("bucket") != "MATCH", severity))
+
+
+OVER = "tallyfold: too many pairs of rows: "
 
 
-def guard(a: DataFrame, b: DataFrame, keys: list[Mapping], cap: int) -> None:
-    """No key may have more pairs of rows than the cap."""
-    pairs = m2m_pairs(a, b, keys)
-    worst = pairs.filter(F.col("pairs") > cap).orderBy(F.desc("pairs")).limit(1).collect()
-    if worst:
-        raise ManyToManyKeyError(f"key {tuple(worst[0][f'k{i}'] for i in range(len(keys)))} has {worst[0].pairs} pairs of rows, more than {cap}")
+def capped(both: DataFrame, keys: list[Mapping], cap: int) -> DataFrame:
+    """joined() that fails, as it is computed, on a key with more pairs of rows than the cap: no job of its own."""
+    over = F.col("rows_b") > F.expr(f"{int(cap)} div rows_a")  # rows_a * rows_b might not fit
+    what = F.concat(F.lit(OVER + "key ("), F.concat_ws(", ", *[F.coalesce(_key(i), F.lit("null")) for i in range(len(keys))]), F.lit(") has "), F.col("rows_a").cast("string"), F.lit(" x "), F.col("rows_b").cast("string"), F.lit(f", more than {cap}"))
+    return both.withColumn("rows_a", F.when(F.coalesce(over, F.lit(False)), F.raise_error(what).cast("long")).otherwise(F.col("rows_a")))
+
+
+@contextmanager
+def named_errors() -> Iterator[None]:
+    """Around the action that computes findings: a broken cap is a ManyToManyKeyError."""
+    try:
+        yield
+    except Exception as e:
+        if m := re.search(re.escape(OVER) + "([^\n]*more than [0-9]+)", str(e)):
+            raise ManyToManyKeyError(m.group(1)) from None
+        raise
 
 
 def m2m_pairs(a: DataFrame, b: DataFrame, keys: list[Mapping]) -> DataFrame:
     both = joined(a, b, keys, []).filter("rows_a IS NOT NULL AND rows_b IS NOT NULL")
-    return both.select(*[f"k{i}" for i in range(len(keys))], "rows_a", "rows_b", (F.col("rows_a").cast("decimal(20,0)") * F.col("rows_b")).cast("decimal(38,0)").alias("pairs"))
+    return both.select(*[_key(i).alias(f"k{i}") for i in range(len(keys))], "rows_a", "rows_b", (F.col("rows_a").cast("decimal(20,0)") * F.col("rows_b")).cast("decimal(38,0)").alias("pairs"))
 
 
 def levels_of(mappings: list[Mapping]) -> list[list[Mapping]]:
@@ -118,26 +177,26 @@ def check(a: DataFrame, b: DataFrame, mappings: list[Mapping]) -> None:
 def reconcile(a: DataFrame, b: DataFrame, mappings: list[Mapping], policy: Policy = Policy(), lineage: bool = False, all_buckets: bool = False, keyed: bool = False) -> DataFrame:
     """Findings of every level: level 0 for all keys, deeper ones below keys that differ; parent_json names the finding above.
 
-    Matches are left out unless all_buckets asks for them. With columns to display there is a note: their values where all rows
-    of a key agree, side a's before side b's. keyed adds the normalised keys, as with_lineage() and lineage_rows() need them.
+    Each side is aggregated once, at the finest keys, and the two are joined once; the levels above are rolled up from that. A key
+    of more row pairs than the cap fails the job that computes the findings (see named_errors()). Matches are left out unless
+    all_buckets asks for them. With columns to display there is a note: their values where all rows of a key agree, side a's
+    before side b's. keyed adds the normalised keys, as with_lineage() and lineage_rows() need them.
     """
     check(a, b, mappings)
     compares, displays = ([m for m in mappings if m.role == r] for r in ("compare", "display"))
     levels = levels_of(mappings)
-    guard(a, b, levels[-1], policy.m2m_cap)
+    finest = capped(joined(a, b, levels[-1], compares, displays), levels[-1], policy.m2m_cap)
     out, above = None, None
     for n, keys in enumerate(levels):
-        rows = bucketed(joined(a, b, keys, compares, displays), keys, compares, n, policy)
-        if displays:
-            rows = rows.withColumn("note", F.to_json(F.struct(*[F.coalesce(f"a_d{i}", f"b_d{i}").alias(m.col_a) for i, m in enumerate(displays)])))
+        both = finest if keys == levels[-1] else rolled(finest, keys, compares, displays)
+        rows = bucketed(both, keys, compares, displays, n, policy)
         if above is None:
             rows = rows.withColumn("parent_json", F.lit(None).cast("string"))
         else:
-            upper = [f"k{i}" for i in range(len(levels[n - 1]))]
-            parent = above.filter("bucket = 'DIFFER'").select(*[F.col(k).alias(f"p_{k}") for k in upper], F.col("compare_col").alias("p_col"), F.col("key_json").alias("parent_json"))
-            on = _all([F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in upper] + [F.col("compare_col") == F.col("p_col")])
-            rows = rows.join(parent, on).drop(*[f"p_{k}" for k in upper], "p_col")
-        rows = rows.withColumn("norm_keys", F.array(*[F.col(f"k{i}") for i in range(len(keys))]))
+            upper = _names(len(levels[n - 1]))
+            parent = above.filter("bucket = 'DIFFER'").select(*upper, "compare_col", F.col("key_json").alias("parent_json"))
+            rows = rows.join(parent, [*upper, "compare_col"])
+        rows = rows.withColumn("norm_keys", F.array(*[_key(i) for i in range(len(keys))]))
         above = rows
         shown = ["level", "bucket", "key_json", "parent_json", "compare_col", "value_a", "value_b", "delta", "rows_a", "rows_b", "severity", *(["note"] if displays else []), *(["norm_keys"] if keyed or lineage else [])]
         part = (rows if all_buckets else rows.filter("bucket <> 'MATCH'")).select(*shown)
@@ -168,6 +227,11 @@ def with_lineage(findings: DataFrame, a: DataFrame, b: DataFrame, mappings: list
     return findings
 
 
+def lineage_json() -> Column:
+    """Of findings with lineage: {"a": rows, "b": rows}, without a side that has none or too many."""
+    return F.to_json(F.struct(F.col("lineage_a").alias("a"), F.col("lineage_b").alias("b")))
+
+
 def lineage_rows(findings: DataFrame, a: DataFrame, b: DataFrame, mappings: list[Mapping]) -> DataFrame:
     """level, norm_keys, side and src_row of every source row of keyed findings, in long form: no key is gathered."""
     need = findings.filter("bucket <> 'MATCH'").select("level", "norm_keys").distinct()

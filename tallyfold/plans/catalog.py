@@ -9,7 +9,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.errors import NotFoundError
+from tallyfold.errors import NotFoundError, ReconError
 
 SCHEMAS = {
     "Meta": "key string, value string",
@@ -31,13 +31,19 @@ def now() -> str:
 
 
 class Catalog:
-    """Catalogue tables live on the driver while in use, as they are small; datasets and findings never do."""
+    """Catalogue tables live on the driver while in use, as they are small; datasets and findings never do.
+
+    Changes of several tables are one: their new versions are written first, then one commit file that names the version of
+    every table appears by renaming. Versions that no commit names don't exist for readers, and the rename fails where another
+    writer has made that commit.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.rows: dict[str, list[dict]] = {}
+        self.commit, self.versions = self._last_commit()
         for t, schema in SCHEMAS.items():
-            at = self._latest(t)
+            at = f"{self.root}/catalog/{t}/{self.versions[t]}" if t in self.versions else None
             self.rows[t] = [r.asDict() for r in spark.read.schema(schema).parquet(at).collect()] if at else []
         if not self.rows["Meta"]:
             self.rows["Meta"] = [{"key": "hmac_salt", "value": uuid.uuid4().hex + uuid.uuid4().hex}]
@@ -47,21 +53,30 @@ class Catalog:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _versions(self, table: str) -> list[int]:
-        fs, p = self._fs(f"{self.root}/catalog/{table}")
-        done = [s.getPath() for s in fs.listStatus(p)] if fs.exists(p) else []
-        ok = [d for d in done if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(d, "_SUCCESS"))]
-        return sorted(int(d.getName()) for d in ok)
-
-    def _latest(self, table: str) -> str | None:
-        v = self._versions(table)
-        return f"{self.root}/catalog/{table}/{v[-1]}" if v else None
+    def _last_commit(self) -> tuple[int, dict[str, str]]:
+        fs, p = self._fs(f"{self.root}/catalog/commits")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        done = sorted(int(n) for n in names if n.isdigit())
+        if not done:
+            return 0, {}
+        r = self.spark.read.text(f"{self.root}/catalog/commits/{done[-1]}").first()
+        return done[-1], json.loads(r.value)
 
     def save(self, *tables: str) -> None:
+        made = dict(self.versions)
         for t in tables:
-            v = self._versions(t)
-            at = f"{self.root}/catalog/{t}/{(v[-1] if v else 0) + 1}"
-            self.table(t).coalesce(1).write.mode("overwrite").parquet(at)
+            made[t] = uuid.uuid4().hex
+            self.table(t).coalesce(1).write.parquet(f"{self.root}/catalog/{t}/{made[t]}")
+        fs, new = self._fs(f"{self.root}/catalog/commits/new-{uuid.uuid4().hex}")
+        fs.mkdirs(new.getParent())
+        out = fs.create(new)
+        out.write(bytearray(json.dumps(made).encode()))
+        out.close()
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/catalog/commits/{self.commit + 1}")
+        if fs.exists(at) or not fs.rename(new, at):
+            fs.delete(new, False)
+            raise ReconError("another writer has changed the catalogue; nothing is saved")
+        self.commit, self.versions = self.commit + 1, made
 
     def table(self, table: str) -> DataFrame:
         names = [x.strip().split()[0] for x in SCHEMAS[table].split(",")]
@@ -90,12 +105,42 @@ class Catalog:
         self.rows[table] = [r for r in self.rows[table] if r not in gone]
 
 
-def document(spark: SparkSession, tables: dict[str, DataFrame], most: int = 100_000, samples: int = 5, width: int = 40) -> str:
-    """Every table as markdown: columns, count, and a few rows of those that aren't large."""
+#: What a column refers to; other tables' id, but for the names of columns.
+REFERENCES = {
+    ("Profile", "last_fingerprint_id"): "Fingerprint.id",
+    ("LoadedFile", "profile_id"): "Profile.id",
+    ("LoadedFile", "fingerprint_id"): "Fingerprint.id",
+    ("Fingerprint", "loaded_file_id"): "LoadedFile.id",
+    ("Fingerprint", "profile_id"): "Profile.id",
+    ("DatasetColumn", "loaded_file_id"): "LoadedFile.id",
+    ("ReconPair", "profile_a_id"): "Profile.id",
+    ("ReconPair", "profile_b_id"): "Profile.id",
+    ("ColumnMapping", "recon_pair_id"): "ReconPair.id",
+    ("JoinKeyStat", "recon_pair_id"): "ReconPair.id",
+    ("JoinKeyStat", "file_a_id"): "LoadedFile.id",
+    ("JoinKeyStat", "file_b_id"): "LoadedFile.id",
+    ("ColumnHierarchy", "loaded_file_id"): "LoadedFile.id",
+    ("Run", "recon_pair_id"): "ReconPair.id",
+    ("Run", "loaded_file_a_id"): "LoadedFile.id",
+    ("Run", "loaded_file_b_id"): "LoadedFile.id",
+    ("RunLevelStat", "run_id"): "Run.id",
+    ("RunFinding", "run_id"): "Run.id",
+    ("RunFinding", "parent_finding_id"): "RunFinding.id",
+}
+
+
+def key_of(table: str, column: str) -> str:
+    if column == ("key" if table == "Meta" else "src_row" if table.startswith("Dataset") and table != "DatasetColumn" else "id"):
+        return "primary key"
+    return f"references {REFERENCES[table, column]}" if (table, column) in REFERENCES else ""
+
+
+def document(tables: dict[str, DataFrame], most: int = 100_000, samples: int = 5, width: int = 40) -> str:
+    """Every table as markdown: columns with keys and references, count, and a few rows of those that aren't large."""
     out = ["# Tables"]
     for name, df in tables.items():
         n = df.count()
-        out += ["", f"## {name}", "", f"{n} rows", "", "| column | type |", "|---|---|", *[f"| {c} | {t} |" for c, t in df.dtypes]]
+        out += ["", f"## {name}", "", f"{n} rows", "", "| column | type | key |", "|---|---|---|", *[f"| {c} | {t} | {key_of(name, c)} |" for c, t in df.dtypes]]
         if 0 < n <= most:
             cell = lambda v: str("" if v is None else v).replace("|", "\\|").replace("\n", " ")[:width]
             out += ["", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict
 from functools import reduce
 
@@ -41,6 +42,8 @@ def parse_mapping(entry: str, role: str) -> reconcile.Mapping:
     return reconcile.Mapping(role, level, norm_column_name(a), norm_column_name(b), mode)
 
 
+#: Bytes beyond which a file is read in splits and never comes to the driver.
+LARGE = 64 << 20
 FINDING_TYPES = {"run_id": "long", "level": "int", "rows_a": "long", "rows_b": "long"}
 
 
@@ -50,15 +53,23 @@ def _finding_id(run_id: int, level: Column, key: str) -> Column:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, large: int = LARGE):
+        self.spark, self.root, self.large = spark, root.rstrip("/"), large
         self.catalog = Catalog(spark, root)
 
     # Files
 
     def ingest(self, path: str, profile: str | None = None, spec: dict | str | None = None) -> dict:
-        """Scan, infer, recognise, check for drift, and only then write; the catalogue's rows come last."""
+        """Scan, infer, recognise, check for drift, and only then write; the catalogue's rows come last.
+
+        Folders and files beyond `large` bytes are read in splits (see ingest_large()), but for spreadsheets and specs that
+        skip leading lines.
+        """
         cat = self.catalog
+        size, files = scan.size_of(self.spark, path)
+        apart = path.lower().endswith(".xlsx") or (spec is not None and specs.validate(spec).skip_lines > 0)
+        if (size > self.large or files > 1) and not apart:
+            return self.ingest_large(path, None, profile, spec)
         name, content, sha = scan.read_bytes(self.spark, path)
         if known := cat.find("LoadedFile", sha256=sha):
             return {"status": "already_loaded", "file_id": known[0]["id"]}
@@ -69,17 +80,37 @@ class Engine:
         except (DelimiterDetectionError, HeaderDetectionError) as e:
             if given:
                 raise
-            found, matched = self._by_stored_spec(name, content, e)
+            found, matched = self._by_stored_spec(lambda known: scan.parse(name, content, known), name, e)
         return self._take(found, path, len(content), sha, profile, given, matched)
 
-    def ingest_large(self, path: str, delimiter: str, profile: str | None = None) -> dict:
-        """The same for delimited UTF-8 files of any size, a file or a folder: no row comes to the driver."""
+    def ingest_large(self, path: str, delimiter: str | None = None, profile: str | None = None, spec: dict | str | None = None) -> dict:
+        """The same for delimited and fixed-width files of any size, a file or a folder, UTF-8 or Windows-1253: no row comes to the driver.
+
+        Rows are numbered by file and split, and quotes must close on their line. Without a delimiter or spec the first lines
+        tell it, or the spec of a profile whose files are very like this one.
+        """
         staging = f"{self.root}/staging/{uuid.uuid4().hex}"
+        given = specs.validate(spec) if spec is not None else None
+        read = lambda known, at: scan.scan_staged(self.spark, path, f"{staging}/{at}", delimiter, known)
+        matched = None
         try:
-            found, size, identity = scan.scan_staged(self.spark, path, delimiter, staging)
+            try:
+                found, size, identity = read(given, 0)
+            except (DelimiterDetectionError, HeaderDetectionError) as e:
+                if given or delimiter:
+                    raise
+                kept: dict[int, tuple] = {}
+
+                def staged(known: specs.Spec) -> scan.Scanned:
+                    out = read(known, len(kept) + 1)
+                    kept[id(out[0])] = out
+                    return out[0]
+
+                found, matched = self._by_stored_spec(staged, os.path.basename(path.rstrip("/")), e)
+                found, size, identity = kept[id(found)]
             if known := self.catalog.find("LoadedFile", sha256=identity):
                 return {"status": "already_loaded", "file_id": known[0]["id"]}
-            return self._take(found, path, size, identity, profile, None, None)
+            return self._take(found, path, size, identity, profile, given, matched)
         finally:
             fs, p = self.catalog._fs(staging)
             fs.delete(p, True)
@@ -136,7 +167,7 @@ class Engine:
             c.nulls, c.distinct = (stats[c.name].nulls, stats[c.name].distinct) if c.name in stats else (0, 0)
         return typed, columns, names
 
-    def _by_stored_spec(self, name: str, content: bytes, why: ReconError) -> tuple[scan.Scanned, int]:
+    def _by_stored_spec(self, read: Callable[[specs.Spec], scan.Scanned], name: str, why: ReconError) -> tuple[scan.Scanned, int]:
         """The one profile whose stored spec reads the file into something very like its last file."""
         fits = []
         for p in self.catalog.rows["Profile"]:
@@ -144,7 +175,7 @@ class Engine:
             if not p.get("parse_spec_json") or not last:
                 continue
             try:
-                found = scan.parse(name, content, specs.validate(p["parse_spec_json"]))
+                found = read(specs.validate(p["parse_spec_json"]))
                 typed, columns, _ = self._typed(found)
             except ReconError:  # this spec doesn't read it; the others may
                 continue
@@ -284,12 +315,17 @@ class Engine:
         maps = [reconcile.Mapping(m["role"], m["level"], m["col_a"], m["col_b"], m["norm_mode"]) for m in cat.find("ColumnMapping", recon_pair_id=p["id"])]
         x, y = self.dataset(fa), self.dataset(fb)
         policy = reconcile.Policy(tolerance, m2m_cap)
-        run_id = max((r["id"] for r in cat.rows["Run"]), default=0) + 1
-        started, run_uuid = now(), str(uuid.uuid4())
+        reconcile.check(x, y, maps)
+        # The run stands in the catalogue before its work: one that fails keeps its number and never gets an end.
+        run_uuid = str(uuid.uuid4())
+        run_id = cat.add("Run", run_uuid=run_uuid, recon_pair_id=p["id"], loaded_file_a_id=fa, loaded_file_b_id=fb, config_json=json.dumps({"tolerance": tolerance, "m2m_cap": m2m_cap, "mappings": [asdict(m) for m in maps]}), started_at=now(), total_findings=0)
+        cat.save("Run")
         every = reconcile.reconcile(x, y, maps, policy, all_buckets=True, keyed=True).persist()
         try:
-            stats = [r.asDict() for r in reconcile.level_stats(every).orderBy("level").collect()]
-            kept = reconcile.with_lineage(every.filter("bucket <> 'MATCH'"), x, y, maps, policy.lineage_rows).withColumn("lineage_json", F.to_json(F.struct(F.col("lineage_a").alias("a"), F.col("lineage_b").alias("b")))).drop("lineage_a", "lineage_b")
+            with reconcile.named_errors():
+                stats = [r.asDict() for r in reconcile.level_stats(every).orderBy("level").collect()]
+            kept = reconcile.with_lineage(every.filter("bucket <> 'MATCH'"), x, y, maps, policy.lineage_rows)
+            kept = kept.withColumn("lineage_json", reconcile.lineage_json()).drop("lineage_a", "lineage_b")
             if "note" not in kept.columns:
                 kept = kept.withColumn("note", F.lit(None).cast("string"))
             kept.withColumns({"run_id": F.lit(run_id), "id": _finding_id(run_id, F.col("level"), "key_json"), "parent_finding_id": F.when(F.col("level") > 0, _finding_id(run_id, F.col("level") - 1, "parent_json"))}).write.mode("overwrite").partitionBy("level").parquet(f"{self.root}/findings/run_id={run_id}")
@@ -299,7 +335,7 @@ class Engine:
         total = sum(s["only_a"] + s["only_b"] + s["differ"] for s in stats if s["level"] == 0)
         for s in stats:
             cat.add("RunLevelStat", run_id=run_id, **s)
-        cat.add("Run", run_uuid=run_uuid, recon_pair_id=p["id"], loaded_file_a_id=fa, loaded_file_b_id=fb, config_json=json.dumps({"tolerance": tolerance, "m2m_cap": m2m_cap, "mappings": [asdict(m) for m in maps]}), started_at=started, finished_at=now(), total_findings=total)
+        cat.one("Run", id=run_id).update(finished_at=now(), total_findings=total)
         cat.save("RunLevelStat", "Run")
         return {"pair": pair, "run_id": run_id, "run_uuid": run_uuid, "tolerance": tolerance, "levels": stats, "total_findings": total, "high_severity": high}
 
@@ -317,10 +353,11 @@ class Engine:
         """Findings of all runs, amounts as exact decimal texts; a child names its parent by id."""
         amounts = {f"{n}_micros": format_decimal(F.col(n)) for n in ("value_a", "value_b", "delta")}
         shown = ["id", "run_id", "parent_finding_id", "level", "bucket", "key_json", "compare_col", *amounts, "rows_a", "rows_b", "severity", "note", "lineage_json"]
-        if not self.catalog.rows["Run"]:
+        done = [r for r in self.catalog.rows["Run"] if r.get("finished_at")]
+        if not done:
             text = ", ".join(f"{c} {FINDING_TYPES.get(c, 'string')}" for c in shown)
             return self.spark.createDataFrame([], text)
-        every = [self.findings(r["id"]).withColumns(amounts).select(*shown) for r in self.catalog.rows["Run"]]
+        every = [self.findings(r["id"]).withColumns(amounts).select(*shown) for r in done]
         return reduce(DataFrame.union, every)
 
     def register(self) -> list[str]:
@@ -370,7 +407,7 @@ class Engine:
         tables = {t: self.catalog.table(t) for t in self.catalog.rows}
         tables |= {f"Dataset{f['id']}": self.dataset(f["id"]) for f in self.catalog.rows["LoadedFile"]}
         tables["RunFinding"] = self.run_findings()
-        return document(self.spark, tables)
+        return document(tables)
 
 
 __all__ = ["Engine", "SchemaMismatchError", "parse_mapping"]

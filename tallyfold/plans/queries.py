@@ -113,7 +113,7 @@ def top_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def key_overlap(spark: SparkSession, d: str) -> DataFrame:
-    o = keys.overlaps(table(spark, d, "orders"), table(spark, d, "customer"), ["o_custkey", "o_orderkey"], ["c_custkey", "c_nationkey"], ascii_only=True)
+    o = keys.overlaps(table(spark, d, "orders"), table(spark, d, "customer"), ["o_custkey", "o_orderkey"], ["c_custkey", "c_nationkey"])
     ua, ub = F.col("distinct_a") / F.col("rows_a"), F.col("distinct_b") / F.col("rows_b")
     overlap = F.col("common") / F.least("distinct_a", "distinct_b")
     return o.select("col_a", "col_b", F.round(ua, 3).alias("unique_a"), F.round(ub, 3).alias("unique_b"), F.round(overlap, 3).alias("overlap"), F.round(overlap * F.sqrt(ua * ub), 3).alias("rank"))

@@ -7,6 +7,10 @@ from tallyfold.errors import EncodingDetectionError
 GREEK_LEAST = 7
 
 
+def greek_letters(text: str) -> int:
+    return sum("Ά" <= c <= "ώ" for c in text)
+
+
 def detect(name: str, data: bytes) -> tuple[str, str]:
     """(encoding, text)."""
     marked = data.startswith(b"\xef\xbb\xbf")
@@ -19,7 +23,7 @@ def detect(name: str, data: bytes) -> tuple[str, str]:
         text = data.decode("cp1253")
     except UnicodeDecodeError as e:
         raise EncodingDetectionError(f"{name}: neither UTF-8 nor Windows-1253") from e
-    if sum("Ά" <= c <= "ώ" for c in text) < GREEK_LEAST:
+    if greek_letters(text) < GREEK_LEAST:
         raise EncodingDetectionError(f"{name}: not UTF-8, and too little Greek for Windows-1253; refusing to guess")
     return "cp1253", text
 

@@ -24,14 +24,23 @@ class Dependency:
 def fd_matrix(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """parent, child, total and violating rows of each pair: one aggregation over grouping sets of the children.
 
-    A child's group violates if its parents differ, that is if their minimum and maximum do.
+    A child's group violates if its parents differ, that is if their minimum and maximum do. Those of texts can't be hashed, so
+    texts stand for two hashes of 64 bits each: only values that agree in both would pass for one.
     """
     children = sorted({c for _, c in pairs})
     parents = sorted({p for p, _ in pairs})
-    src = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c_{i}") for i, c in enumerate(children)], *[F.col(f"`{p}`").cast("string").alias(f"p_{i}") for i, p in enumerate(parents)])
+    kinds = dict(df.dtypes)
+    cols, ends = [F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(children)], []
+    for i, p in enumerate(parents):
+        v = F.col(f"`{p}`")
+        each = [F.xxhash64(v), F.xxhash64(v, F.lit(1))] if kinds[p].startswith(("string", "varchar", "char", "binary")) else [v]
+        cols += [F.when(v.isNotNull(), x).alias(f"p_{i}_{j}") for j, x in enumerate(each)]
+        ends.append([f"p_{i}_{j}" for j in range(len(each))])
+    src = df.select(*cols)
     aggs = [F.grouping_id().alias("gid")]
-    for i in range(len(parents)):
-        aggs += [F.count(f"p_{i}").alias(f"n_{i}"), (F.min(f"p_{i}") != F.max(f"p_{i}")).alias(f"v_{i}")]
+    for i, names in enumerate(ends):
+        differ = [F.min(n) != F.max(n) for n in names]
+        aggs += [F.count(names[0]).alias(f"n_{i}"), (differ[0] if len(differ) == 1 else differ[0] | differ[1]).alias(f"v_{i}")]
     keys = [F.col(f"c_{i}") for i in range(len(children))]
     grouped = src.groupingSets([[k] for k in keys], *keys).agg(*aggs)
     full = (1 << len(children)) - 1

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.dates import parse_date
 from tallyfold.functions.decimals import TYPE, evidence, format_decimal, parse_decimal
-from tallyfold.functions.text import hmac16, norm_key
+from tallyfold.functions.text import norm_key
 from tallyfold.operators import hierarchy, infer, keys, reconcile
 from tallyfold.operators.reconcile import Mapping
+from tallyfold.plans import surface
 
 KEY, AMOUNT = Mapping("key", 0, "order", "order", "raw"), Mapping("compare", 0, "amount", "amount")
 L0, L1 = Mapping("key", 0, "l_orderkey", "l_orderkey", "raw"), Mapping("key", 1, "l_linenumber", "l_linenumber", "raw")
@@ -150,15 +151,6 @@ def infer_types(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(c.name, c.type) for c in infer.infer(infer.trimmed(e, names), names)], "col string, type string")
 
 
-def value_hmac(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").select("n_nationkey", hmac16(F.lower("n_name"), "00" * 32).alias("h"))
-
-
-def column_hash(spark: SparkSession, d: str) -> DataFrame:
-    names = spark.createDataFrame([(c,) for c in table(spark, d, "orders").columns], "n string")
-    return names.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("n"))), 256).alias("h"))
-
-
 _ONE = """SELECT {k} AS k, {json} AS key_json, va AS value_a, vb AS value_b, coalesce(ra, 0) AS rows_a, coalesce(rb, 0) AS rows_b,
   CASE WHEN rb IS NULL THEN va WHEN ra IS NULL THEN -vb ELSE va - vb END AS delta,
   CASE WHEN rb IS NULL THEN 'ONLY_A' WHEN ra IS NULL THEN 'ONLY_B' WHEN abs(va - vb) <= 0.01 THEN 'MATCH' ELSE 'DIFFER' END AS bucket
@@ -187,8 +179,7 @@ QUERIES = {
     "dates_day_first": dates_day_first,
     "number_evidence": number_evidence,
     "infer_types": infer_types,
-    "value_hmac": value_hmac,
-    "column_hash": column_hash,
+    **surface.QUERIES,
 }
 
 _TYPED = "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS p FROM orders"
@@ -214,5 +205,5 @@ ORACLE_SQL = {
     "dates_day_first": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, CAST(NULL AS VARCHAR) AS none FROM orders",
     "number_evidence": r"WITH t AS (SELECT format('{:,.2f}', o_totalprice) AS t FROM orders) SELECT count(*) FILTER (regexp_matches(t, '(,[0-9]{1,6}-?$)|(-?[0-9]{1,3}(\.[0-9]{3}){2,},?)|([0-9]-$)')) AS greek, count(*) FILTER (regexp_matches(t, '(\.[0-9]{1,6}\)?$)|(-?\(?[0-9]{1,3}(,[0-9]{3}){1,})|(^\()')) AS standard, count(*) FILTER (regexp_matches(t, '[.,]')) AS separators FROM t",
     "infer_types": "SELECT col, type FROM (VALUES ('event_id', CASE WHEN (SELECT bool_and(regexp_full_match(CAST(event_id AS VARCHAR), '-?(0|[1-9][0-9]{0,17})')) FROM events) THEN 'integer' ELSE 'text' END), ('event_type', CASE WHEN (SELECT bool_and(regexp_full_match(event_type, '-?[0-9].*')) FROM events) THEN 'integer' ELSE 'text' END), ('value', CASE WHEN (SELECT bool_or(regexp_matches(CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR), '^-?0[0-9]')) FROM events) THEN 'text' ELSE 'decimal' END), ('day', 'date'), ('code', CASE WHEN (SELECT bool_and(regexp_full_match(lpad(CAST(user_id AS VARCHAR), 12, '0'), '-?(0|[1-9][0-9]{0,17})')) FROM events) THEN 'integer' ELSE 'text' END)) v(col, type)",
-    "column_hash": "SELECT sha256(string_agg(n, chr(10) ORDER BY n)) AS h FROM (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS n)",
+    **surface.ORACLE_SQL,
 }

@@ -21,9 +21,9 @@ def round3(x: float) -> float:
 
 
 def value_sets(df: DataFrame, columns: list[str]) -> DataFrame:
-    """col, norm and n: the distinct normalised values of each column and how often each occurs. Values are counted as written first."""
-    written = long_form(df, columns).filter("value IS NOT NULL").groupBy("col", "value").agg(F.count("*").alias("n"))
-    return written.select("col", norm_key(F.col("value")).alias("norm"), "n").groupBy("col", "norm").agg(F.sum("n").alias("n"))
+    """col, norm and n: the distinct normalised values of each column and how often each occurs."""
+    long = long_form(df, columns).filter("value IS NOT NULL").select("col", norm_key(F.col("value")).alias("norm"))
+    return long.groupBy("col", "norm").agg(F.count("*").alias("n"))
 
 
 def overlaps(a: DataFrame, b: DataFrame, cols_a: list[str], cols_b: list[str]) -> DataFrame:

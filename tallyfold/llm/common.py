@@ -8,6 +8,7 @@ import tempfile
 import types
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,34 +29,67 @@ def worker_cache() -> types.ModuleType:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests, one machine) a folder of our own."""
-    if at := spark.conf.get("spark.checkpoint.dir", None):
+    """The folder in spark.checkpoint.dir; only on one machine (tests), where that is unset, a folder of our own."""
+    if at := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return at
-    if not (at := spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyfold-"))
-        at = spark.sparkContext.getCheckpointDir()
-    return at
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyfold-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside, by any operator, are removed at the end: for callers that have by then used what they were given."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for at in _open.pop():
+            delete(spark, at)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once and kept as a Parquet table in the shared folder until the session ends: its lineage is cut.
+    """df, computed once and kept as a Parquet table in the shared folder: its lineage is cut.
 
-    Unlike checkpoint() this does not run the last stage twice.
+    The table goes when the scope that it was written in ends, or else with the session. Unlike checkpoint() this does not run
+    the last stage twice.
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/tallyfold-{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(at)
+    else:
+        atexit.register(_at_exit, spark, at)
     df.write.parquet(at)
-    atexit.register(_delete, spark, at)
     return spark.read.schema(df.schema).parquet(at)
 
 
-def _delete(spark: SparkSession, at: str) -> None:
+def path_of(spark: SparkSession, at: str):
+    """A path and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, at: str) -> bool:
+    path, fs = path_of(spark, at)
+    return fs.exists(path)
+
+
+def delete(spark: SparkSession, at: str) -> None:
+    path, fs = path_of(spark, at)
+    fs.delete(path, True)
+
+
+def _at_exit(spark: SparkSession, at: str) -> None:
     """Runs as the interpreter ends, when the JVM may be gone already: then there is nothing left to do it with."""
     from py4j.protocol import Py4JError, Py4JNetworkError
 
     try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, at)
     except (Py4JError, Py4JNetworkError, OSError, TypeError, AttributeError):
         return
 

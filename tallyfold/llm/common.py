@@ -111,24 +111,24 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about so many bytes of text: a longer text has a batch of its own."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many bytes of text, and at most so many rows: a longer text has a batch of its own."""
     for b in batches:
         if not b.num_rows:
             continue
         off = flat(b.column(b.schema.get_field_index(column)))[1]
         at = 0
         while at < b.num_rows:
-            end = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
+            end = min(at + rows, max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1))
             yield b.slice(at, end - at)
             at = end
 
 
-def in_slices(f, column: str = "text", most: int = 4 << 20):
+def in_slices(f, column: str = "text", most: int = 4 << 20, rows: int = 1 << 30):
     """A function for mapInArrow that applies f to each slice."""
 
     def run(batches):
-        for b in slices(batches, column, most):
+        for b in slices(batches, column, most, rows):
             yield f(b)
 
     return run

@@ -27,6 +27,8 @@ from tallyfold.llm.words import LOWER, bounds, hashes, mix
 
 SAMPLE, RANK, NEAREST, POWER, THRESHOLD = 3000, 48, 25, 4.0, 0.3
 SHAPES, REPEATS = 16, 32
+#: Texts whose vectors a worker holds at once: their counts take 50 kB each.
+BLOCK = 512
 DIMS = SHAPES**3 + REPEATS
 
 _SHAPE = np.full(256, 15, np.uint8)  # other marks and control characters
@@ -143,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
         x = terms(*flat(b.column("text")))
         return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([zlib.compress(r.tobytes(), 1) for r in x], pa.binary())], ["doc_id", "y", "x"])
 
-    got = rows.mapInArrow(in_slices(run, most=1 << 20), "doc_id long, y int, x binary").orderBy("doc_id").limit(2 * sample).collect()
+    got = rows.mapInArrow(in_slices(run, most=1 << 20, rows=BLOCK), "doc_id long, y int, x binary").orderBy("doc_id").limit(2 * sample).collect()
     x = np.zeros((len(got), DIMS), np.float32)
     for i, r in enumerate(got):
         x[i] = np.frombuffer(zlib.decompress(r.x), np.float32)
@@ -161,5 +163,5 @@ def score(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
     own = [c for c in docs.columns if c != to]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own if c != "text"], F.lit(0).alias("_tallyfold_none")).alias("row"), F.col("text").cast("string").alias("text"))
     schema = T.StructType([*rows.schema.fields, T.StructField("s", T.DoubleType())])
-    out = rows.mapInArrow(in_slices(run), schema)
+    out = rows.mapInArrow(in_slices(run, most=1 << 20, rows=BLOCK), schema)
     return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in own], F.col("s").alias(to))

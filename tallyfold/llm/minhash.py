@@ -13,7 +13,7 @@ the exact check is the plain sets' signature. Where nothing repeats the two sign
 
 Documents with equal shingles are one class before anything is joined. A band's bucket of many classes gives a pair of
 each with a leader; pairs are confirmed by the exact Jaccard similarity of their sets of shingles. Where members are not
-all of one component by then, their rarest shingles find the further pairs (see linked()): no link between
+all of one component by then, bounds and shingles that the leader lacks find the further pairs (see linked()): no link between
 different texts of a bucket is lost, and copies, however many, are never expanded into pairs. Components are found by joins with cut
 lineage; nothing but counts comes to the driver.
 
@@ -224,34 +224,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return beside(pairs, sets, "shingles").filter(F.least(m, n) >= F.greatest(m, n) * least).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def differences(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Of b in pairs (a, b, s, root): a, b, root, kind, the shingles of that kind, and how many of the rarest can meet a further link.
-
-    Kind 0 are the shingles that a lacks. Kind 1 are those that a has, where b has so many of them that it can have a link by
-    these alone. Two texts that are `least` similar have at least that part of either's shingles in common; so they share one
-    of kind 0, or as many of kind 1, and then one even among the rarest but for as many as they must share.
-    """
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b, s, root): a, b, root, how many shingles b has, how many of them are a's, and which are not."""
 
     def run(batches):
         for b in batches:
-            at, kinds, lists, prefix = [], [], [], []
-            for i, (x, y) in enumerate(zip(b.column("x"), b.column("y"), strict=True)):
+            size, same, other = [], [], []
+            for x, y in zip(b.column("x"), b.column("y"), strict=True):
                 p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                lacks = ~np.isin(q, p, assume_unique=True)
-                other, size = int(lacks.sum()), len(q)
-                need = int(np.ceil(size * least - 1e-9))
-                same = size - other
-                for kind, n, must in ((0, other, max(1, need - same)), (1, same, need if same / least - other >= need - 1e-9 else size + 1)):
-                    if n - must + 1 > 0:
-                        at.append(i)
-                        kinds.append(kind)
-                        lists.append(q[lacks if kind == 0 else ~lacks].view(np.int64))
-                        prefix.append(n - must + 1)
-            take = pa.array(at, pa.int64())
-            cols = [b.column("a").take(take), b.column("b").take(take), b.column("root").take(take), pa.array(kinds, pa.int32()), pa.array(lists, pa.list_(pa.int64())), pa.array(prefix, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["a", "b", "root", "kind", "own", "prefix"])
-
-    return beside(pairs, sets, "shingles").select("a", "b", "root", "x", "y").mapInArrow(run, "a long, b long, root long, kind int, own array<long>, prefix long")
+                rest = np.setdiff1d(q, p, assume_unique=True)
+                size.append(len(q))
+                same.append(len(q) - len(rest))
+                other.append(rest.view(np.int64))
+            cols = [b.column("a"), b.column("b"), b.column("root"), pa.array(size, pa.int64()), pa.array(same, pa.int64()), pa.array(other, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["a", "b", "root", "size", "same", "other"])
+
+    return beside(pairs, sets, "shingles").select("a", "b", "root", "x", "y").mapInArrow(run, "a long, b long, root long, size long, same long, other array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -274,10 +262,13 @@ def linked(docs: DataFrame, reps: DataFrame, least: float, shingle: int) -> Data
 
     Groups are at first the bands' buckets. Members of the smallest are compared with each other, those of others with a
     leader: of the classes that any member meets anywhere, the one that meets most. So all groups around one text have it as
-    their leader, and a member is compared with it once, in parts of about SPLIT members. Members of one leader that are not of
-    one component by then can still be similar. Such two share one of the rarest of their shingles that the leader lacks or, if
-    nearly all of theirs are the leader's, one of the rarest of those (see differences()). Few sharing one are compared at once;
-    many are a group of the next round, where a group has to be eight times as large not to count as few: so the rounds end.
+    their leader, and a member is compared with it once, in parts of about SPLIT members. Let a member
+    share p shingles with the leader and have u others, a second one q and v. If no other shingle is common to both, their
+    similarity is at most min(p, q) / (max(p, q) + u + v). So what can still be similar, among members of one leader that are
+    not of one component by then, either passes that bound, found by size, or shares a shingle the leader lacks. As the
+    two have at least `least` of either's shingles in common, they share one even of the rarest of those, but for as many of
+    the most frequent as they must share. Few sharing one are compared at once; many are a group of the next round, where a
+    group has to be eight times as large not to count as few: so the rounds end.
     """
     spots = reps.select("class", F.explode("bands").alias("g")).repartition("g")
     groups = written(spots.join(spots.groupBy("g").count().filter("count > 1"), "g"), "groups")
@@ -305,19 +296,26 @@ def linked(docs: DataFrame, reps: DataFrame, least: float, shingle: int) -> Data
         named = star.join(found, star["b"] == found["node"], "left").select("a", "b", "s", F.coalesce("root", "b").alias("root"))
         mixed = named.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("a")
         open_ = named.join(star.select("a", "s").distinct().join(mixed, "a"), ["a", "s"])
-        own = differences(open_, sets, least).select("a", "b", "root", "kind", "prefix", F.explode("own").alias("w"))
-        own = written(own, "part")
-        own = own.join(own.groupBy("a", "kind", "w").agg(F.count("*").alias("often")), ["a", "kind", "w"])
-        own = own.withColumn("at", F.row_number().over(Window.partitionBy("a", "b", "kind").orderBy("often", "w"))).filter("at <= prefix AND often > 1")
-        own = written(own.select("a", "b", "root", "kind", "w"), "part")
-        by = own.groupBy("a", "kind", "w").agg(F.count("*").alias("count"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
-        shared = written(own.join(by.select("a", "kind", "w", "count"), ["a", "kind", "w"]), "part")
+        parts = written(differences(open_, sets), "part")
+        ratio = F.lit(1 / least)
+        reach = F.floor(ratio * F.col("same") - (F.col("size") - F.col("same")) + 1e-9)
+        low = F.ceil(F.col("size") * least - 1e-9)
+        x = parts.filter(reach >= low).select("a", F.col("b").alias("x"), F.col("root").alias("rx"), F.col("same").alias("p"), F.explode(F.sequence(low, reach)).alias("size"))
+        y = parts.select("a", F.col("b").alias("y"), F.col("root").alias("ry"), F.col("same").alias("q"), "size")
+        sized = x.join(y, ["a", "size"]).filter("p <= q AND rx != ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        least_common = F.greatest(F.lit(1), F.ceil(F.col("size") * least - F.col("same") - 1e-9))
+        own = parts.select("a", "b", "root", (F.size("other") - least_common + 1).alias("prefix"), F.explode("other").alias("w"))
+        own = own.join(own.groupBy("a", "w").agg(F.count("*").alias("often")), ["a", "w"])
+        own = own.withColumn("at", F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "w"))).filter("at <= prefix AND often > 1")
+        own = written(own.select("a", "b", "root", "w"), "part")
+        by = own.groupBy("a", "w").agg(F.count("*").alias("count"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("a", "w", "count")
+        shared = written(own.join(by, ["a", "w"]), "part")
         few = shared.filter(F.col("count") <= most)
-        x = few.select("a", "kind", "w", F.col("b").alias("x"), F.col("root").alias("rx"))
-        y = few.select("a", "kind", "w", F.col("b").alias("y"), F.col("root").alias("ry"))
-        paired = x.join(y, ["a", "kind", "w"]).filter("x < y AND rx != ry").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        good = written(good.union(compare(dealt(paired))), "part")
-        groups = written(shared.filter(F.col("count") > most).select(F.xxhash64("a", "kind", "w").alias("g"), F.col("b").alias("class"), "count"), "part")
+        x = few.select("a", "w", F.col("b").alias("x"), F.col("root").alias("rx"))
+        y = few.select("a", "w", F.col("b").alias("y"), F.col("root").alias("ry"))
+        paired = x.join(y, ["a", "w"]).filter("x < y AND rx != ry").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        good = written(good.union(compare(dealt(sized.union(paired).distinct()))), "part")
+        groups = written(shared.filter(F.col("count") > most).select(F.xxhash64("a", "w").alias("g"), F.col("b").alias("class"), "count"), "part")
         found = components(good)
         most *= 8
     return found if found is not None else reps.select(F.col("class").alias("node"), F.col("class").alias("root"))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BLOCK = 256
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same in texts that aren't lower-cased
 
@@ -103,20 +104,45 @@ def lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def prefixes(items: Column, zero: Column, of, plus) -> Column:
+    """For each item the sum, by plus, of of(item) over those before it, from zero on.
+
+    In blocks, as an array that grows by one item at a time is copied each time: the work is of n * (BLOCK + n / BLOCK**2).
+    """
+    empty = F.filter(F.array(zero), lambda x: F.lit(False))
+
+    def run(block: Column, first: Column, each) -> Column:
+        start = F.struct(first.alias("at"), empty.alias("out"))
+        step = lambda a, x: F.struct(plus(a["at"], each(x)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(block, start, step, lambda a: a["out"])
+
+    def dealt(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, x: plus(a, of(x))))
+        return F.flatten(F.zip_with(blocks, run(totals, zero, lambda x: x), lambda b, first: run(b, first, of)))
+
+    last = F.greatest(F.floor((F.size(items) - 1) / BLOCK), F.lit(0).cast("long"))
+    return let(F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.slice(items, (i * BLOCK + 1).cast("int"), F.lit(BLOCK))), dealt)
+
+
 def intervals(text: Column, pattern: Column) -> Column:
     """(start, end) in characters of every match of a pattern that matches no empty string."""
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, pattern, -1)
-    kind = "array<struct<start:int,end:int>>"
-    start = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast(kind).alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def placed(xs: Column) -> Column:
+        starts = prefixes(xs, F.lit(0), lambda x: x["gap"] + x["own"], lambda a, b: a + b)
+        return F.zip_with(xs, starts, lambda x, s: F.struct((s + x["gap"]).alias("start"), (s + x["gap"] + x["own"]).alias("end")))
 
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + F.length(x["between"])
-        e = s + F.length(x["found"])
-        return F.struct(e.cast("int").alias("at"), F.concat(a["out"], F.array(F.struct(s.cast("int").alias("start"), e.cast("int").alias("end")))).alias("out"))
+    def of(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        sizes = F.zip_with(gaps, found, lambda g, f: F.struct(F.length(g).alias("gap"), F.length(f).alias("own")))
+        return F.when(F.size(found) > 0, let(sizes, placed)).otherwise(none)
 
-    pairs = F.filter(F.arrays_zip(between.alias("between"), found.alias("found")), lambda x: x["found"].isNotNull())
-    return F.when(F.regexp_like(text, pattern), F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(F.array().cast(kind))
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), of)
 
 
 def detections(text: Column, rs: list[Rule]) -> Column:
@@ -135,13 +161,24 @@ def detections(text: Column, rs: list[Rule]) -> Column:
     )
 
 
-def unsuppressed(found: Column) -> Column:
-    def beats(y: Column, x: Column) -> Column:
-        within = (y["start"] <= x["start"]) & (y["end"] >= x["end"])
-        longer = (y["end"] - y["start"]) - (x["end"] - x["start"])
-        return within & ((y["priority"] > x["priority"]) | ((y["priority"] == x["priority"]) & ((longer > 0) | ((longer == 0) & (y["rule"] < x["rule"])))))
+def unsuppressed(found: Column, rs: list[Rule]) -> Column:
+    """Those that no other suppresses, in one sweep: by start, the longer first, what lies around a detection has been before it.
+
+    So it is suppressed if, of those before it with its priority or a higher one, the furthest end is not before its own.
+    """
+    levels = sorted({r.priority for r in rs})
+    ranks = F.array(*[F.lit(p) for p in levels])
+    ends = lambda x: F.array(*[F.when(-x["p"] >= p, -x["e"]).otherwise(0) for p in levels])
+    further = lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y))
+
+    def kept(xs: Column) -> Column:
+        before = prefixes(xs, F.array(*[F.lit(0) for _ in levels]), ends, further)
+        free = lambda x, s: F.element_at(s, F.array_position(ranks, -x["p"]).cast("int")) < -x["e"]
+        own = lambda x: F.struct(x["rule"].alias("rule"), x["start"].alias("start"), (-x["e"]).alias("end"), (-x["p"]).alias("priority"))
+        return F.array_sort(F.filter(F.zip_with(xs, before, lambda x, s: F.when(free(x, s), own(x))), lambda x: x.isNotNull()))
 
-    return F.array_sort(F.filter(found, lambda x: ~F.exists(found, lambda y: beats(y, x))))
+    order = F.transform(found, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("e"), (-x["priority"]).alias("p"), x["rule"].alias("rule")))
+    return let(F.array_sort(order), kept)
 
 
 def base_places(words: Column) -> Column:
@@ -181,7 +218,7 @@ def scan(docs: DataFrame, rs: list[Rule] | None = None) -> DataFrame:
     out = out.withColumn("_words", F.when(F.contains("_low", F.lit("license")), F.regexp_extract_all("_low", F.lit(WORD), F.lit(0))))
     out = out.withColumn("base", F.when(F.col("_words").isNotNull(), base_places(F.col("_words"))).otherwise(none)).drop("_words")
     out = out.withColumn("_all", F.when(gated, detections(F.col("_low"), rs)).otherwise(hits)).drop("_low")
-    out = out.withColumn("found", F.when(F.size("_all") > 0, unsuppressed(F.col("_all"))).otherwise(hits)).drop("_all")
+    out = out.withColumn("found", F.when(F.size("_all") > 0, unsuppressed(F.col("_all"), rs)).otherwise(hits)).drop("_all")
     label, weight = F.array(*[F.lit(r.label) for r in rs]), F.array(*[F.lit(r.weight) for r in rs])
     both = F.concat(F.transform("base", lambda x: x["label"]), F.transform("found", lambda x: F.get(label, x["rule"])))
     sure = F.when(F.size("base") > 0, 0.5).otherwise(0.0)

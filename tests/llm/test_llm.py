@@ -360,6 +360,22 @@ def test_license_rules(spark):
     assert set(r.labels) == {"apache", "mit"} and 0 < r.score <= 1
 
 
+def test_many_detections(spark):
+    """50,000 matches in one text, and one of all forms many times over, against the plain definition."""
+    rs = [licenses.Rule("mit", "mit", r"mit\s+license", 20, 0.6), licenses.Rule("mit", "mit", r"the\s+mit\s+license", 22, 0.7), licenses.Rule("x", "license", r"license\s+the", 20, 0.1), licenses.Rule("y", "mit", r"mit\s+license", 20, 0.2)]
+    big = "the mit license " * 25_000
+    small = "the mit license the mit  license, mit license the the mit license " * 20
+    docs = spark.createDataFrame([(1, big), (2, small), (3, "é" * 300 + small)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.found for r in licenses.scan(docs, rs).collect()}
+    assert time.time() - began < 60
+    assert len(got[1]) == 25_000 + 24_999 and {f["rule"] for f in got[1]} == {1, 2}
+    for i, text in ((2, small), (3, "é" * 300 + small)):
+        every = [(k, m.start(), m.end(), x.priority) for k, x in enumerate(rs) for m in re.finditer(x.pattern, text)]
+        beaten = lambda x, y: y[1] <= x[1] and y[2] >= x[2] and (y[3], y[2] - y[1], -y[0]) > (x[3], x[2] - x[1], -x[0])
+        assert [tuple(f) for f in got[i]] == sorted(x for x in every if not any(beaten(x, y) for y in every))
+
+
 STATEMENTS = [
     "permission is hereby granted, free of charge, to any person",
     "redistribution and use in source and binary forms",

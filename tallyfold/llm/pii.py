@@ -93,7 +93,16 @@ def base(text: str) -> list[tuple[int, int, int]]:
 
 #: Gazetteers: fixed lists of common words.
 TITLES = ("mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "madame", "monsieur", "sr", "sra", "don")
-NAMES = frozenset("james john robert michael william david richard mary patricia linda barbara elizabeth jennifer maria susan thomas charles peter paul anna laura sarah emma hans jürgen klaus karl pierre jean marie luc josé juan carlos luis carmen ana".split())
+NAMES = frozenset(
+    (
+        "james john robert michael william david richard joseph thomas charles christopher daniel matthew anthony mark steven paul andrew "
+        "kevin brian george edward peter henry frank jack simon oliver harry mary patricia jennifer linda elizabeth barbara susan jessica "
+        "sarah karen lisa nancy margaret sandra emily emma laura helen alice julia sophie hans jürgen klaus karl wolfgang stefan thomas "
+        "andreas matthias uwe heinz ursula monika petra sabine claudia anna heike pierre jean michel philippe alain nicolas jacques louis "
+        "marie nathalie isabelle sylvie catherine françoise luc josé juan carlos luis antonio manuel francisco javier miguel pedro maria "
+        "carmen ana isabel dolores pilar rosa"
+    ).split()
+)
 STREETS = frozenset("street st avenue ave road rd lane ln boulevard blvd drive dr platz straße strasse rue calle".split())
 TLDS = frozenset("com org net edu gov de fr es uk info io".split())
 NEAR = {
@@ -104,6 +113,8 @@ NEAR = {
     6: frozenset("name named by dear contact from signed i'm am".split()),
     7: frozenset("password passwd pwd key token secret api aws credential login".split()),
 }
+#: Numbers that forms and advertisements have shown as examples: nobody's.
+SHOWN = frozenset("078-05-1120 219-09-9999 123-45-6789 987-65-4321 111-11-1111".split())
 FAR = frozenset("version page pages figure table chapter section isbn order vol no year price model part".split())
 
 #: kind, a string one of which any match contains, pattern (the span is group 1), strict pattern.
@@ -118,6 +129,12 @@ _LOOSE = [
 ]
 
 
+def dialled(digits: str) -> bool:
+    """Whether the North American plan gives out such a number: neither part begins with 0 or 1 or is a service code."""
+    area, exchange = digits[:3], digits[3:6]
+    return area[0] > "1" and area[1] != "9" and area[1:] != "11" and exchange[0] > "1" and exchange[1:] != "11"
+
+
 def votes(kind: int, text: str, start: int, end: int, strict: re.Pattern) -> tuple[int, ...]:
     """Of the pattern, the gazetteer, the context and the shape: 1 yes, -1 no, 0 nothing to say."""
     span = text[start:end]
@@ -133,8 +150,10 @@ def votes(kind: int, text: str, start: int, end: int, strict: re.Pattern) -> tup
         gazetteer = 1 if words & NAMES else 0
     elif kind == 7:
         gazetteer = 1 if span[:4] in ("AKIA", "ghp_") or span.startswith("sk_") else 0
+    elif kind == 5:
+        gazetteer = -1 if span in SHOWN else 0
     else:
-        gazetteer = 1 if "555" in span else 0
+        gazetteer = 1 if dialled(digits) else -1
     context = 1 if any(w.rstrip("=:") in NEAR[kind] for w in before) else -1 if any(w in FAR for w in before[-2:]) else 0
     if kind in (3, 5):
         shape = 1 if len(set(digits)) > 3 else -1

@@ -317,6 +317,32 @@ def test_pii_many_candidates():
     assert [c[:3] for c in pii.candidates(text, base)] == want and len({k for k, _, _ in want}) > 4
 
 
+def test_reliabilities():
+    """Expectation-maximisation finds the voters' planted reliabilities and the truth; the classifier follows it."""
+    r = np.random.default_rng(4)
+    truth = r.random(20_000) < 0.4
+    right = (0.95, 0.8, 0.7, 0.9)
+    cast = np.array([np.where(r.random(len(truth)) < 0.3, 0, np.where((r.random(len(truth)) < q) == truth, 1, -1)) for q in right]).T
+    v, which, n = np.unique(cast, axis=0, return_inverse=True, return_counts=True)
+    p, chance = pii.expectation_maximisation(np.full(len(v), 4), v, n.astype(float))
+    for j, q in enumerate(right):
+        assert abs(chance[j, 1, 2] - 0.7 * q) < 0.04 and abs(chance[j, 0, 0] - 0.7 * q) < 0.04
+    exact = np.array([0.4 * np.prod([1 if x == 0 else q if x > 0 else 1 - q for x, q in zip(row, right, strict=True)]) for row in v])
+    other = np.array([0.6 * np.prod([1 if x == 0 else 1 - q if x > 0 else q for x, q in zip(row, right, strict=True)]) for row in v])
+    assert (n * np.abs(p - exact / (exact + other))).sum() / n.sum() < 0.03
+    assert ((p > 0.5)[which.ravel()] == truth).mean() > 0.9
+    names = [f"4:{','.join(map(str, row))}:1" for row in v]
+    model = pii.train(list(zip(names, n.tolist(), strict=True)))
+    assert (n * (np.array([model[s] for s in names]) > 0.5))[p > 0.5].sum() > 0.97 * n[p > 0.5].sum()
+    assert pii.train([]) == {}
+
+
+def test_gazetteers():
+    assert [pii.dialled(d) for d in ("4155552671", "1155552671", "4111552671", "4159112671", "9115552671", "4955552671")] == [True, False, False, False, False, False]
+    assert pii.votes(5, "no 078-05-1120", 3, 14, pii._LOOSE[3][3])[1] == -1
+    assert pii.votes(6, "Mr. Juan Pérez", 4, 14, pii._LOOSE[4][3])[1] == 1
+
+
 def test_urls(spark):
     urls = [None, "", "x", "http://", "HTTP://WWW.Example.COM/en/a?b", "https://a.net/es/1", "https://a.net/es", "ftp://ads.x.org/login", "http://com/#f", "//a://b.com/c"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, path string")

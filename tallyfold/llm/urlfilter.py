@@ -2,11 +2,14 @@
 
 A rule is a regular expression over host and path together with the literal tokens that any match contains. Its key is the
 token that fewest rules share (ties: the longer, then the first in order). The tokens of a URL fetch the candidate rules from
-the index, and only their expressions run. Rules without a literal token are candidates of every URL. The index depends on
-the rules alone, is part of the plan, and is refused beyond MOST_RULES; pages are never shuffled.
+the index, and only their expressions run. Rules without a literal token are candidates of every URL.
+
+Up to MOST_RULES the index is part of the plan and pages are not shuffled. With more of them it is a table: the tokens of each
+distinct host and path meet it in a join, by broadcast while the table's text has at most BROADCAST characters, else dealt over SALTS
+parts, as a token may stand in most URLs; what fits is joined back the same way, as a URL may be that of most rows.
 
 A null URL or one without :// has an empty host and path, which no token rule fits. Rows that repeat are judged each. An
-empty table gives no rows.
+empty table gives no rows. Other columns are kept, whatever their names, but for those that judge() adds.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_RULES = 2000
+MOST_RULES, BROADCAST, SALTS = 500, 32 << 20, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -60,6 +63,18 @@ KINDS = [
     ("machine", "path", ("wp-login", "cgi-bin", "xmlrpc", "phpmyadmin", "sitemap", "robots")),
 ]
 
+#: Kinds of paths told by several words that stand one after another, each a token: name, phrases.
+PHRASES = [
+    ("account", ("my account", "account login", "user login", "user register", "user profile edit", "reset password", "forgot password", "change password", "create account", "member login")),
+    ("shop", ("add to cart", "cart add", "cart update", "add to wishlist", "add to basket", "checkout payment", "product compare")),
+    ("machine", ("wp admin", "wp content plugins", "wp content themes", "wp json", "wp includes", "admin login", "admin ajax", "feed rss", "rss xml", "api v1", "api v2", "server status", "cgi bin env")),
+    ("calendar", ("calendar day", "calendar week", "calendar month", "events day", "archive day")),
+    ("listing", ("tag page", "search results", "search page", "author page", "category page", "index of", "sort by price", "filter by price")),
+    ("copy", ("print version", "printer friendly", "send to friend", "email this page", "share this page", "download pdf version")),
+    ("legal", ("terms of use", "terms of service", "privacy policy", "cookie policy", "copyright notice")),
+    ("forum", ("reply to post", "report this post", "quote reply", "members list", "who is online", "private message")),
+]
+
 
 def default_rules() -> list[Rule]:
     out = []
@@ -67,6 +82,10 @@ def default_rules() -> list[Rule]:
         for w in words:
             before = r"^([^/]*[^A-Za-z0-9/])?" if where == "host" else r"/([^\n]*[/._-])?"
             out.append(Rule(f"{name}:{w}", f"(?i){before}{re.escape(w)}([^A-Za-z0-9]|$)", tuple(re.findall("[a-z0-9]+", w)), "block"))
+    for name, phrases in PHRASES:
+        for p in phrases:
+            words = p.split()
+            out.append(Rule(f"{name}:{p}", r"(?i)/([^\n]*[/._-])?" + "[/._-]".join(words) + "([^A-Za-z0-9]|$)", tuple(words), "block"))
     return out
 
 
@@ -90,22 +109,46 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def tokens_of(subject: Column) -> Column:
+    return F.array_distinct(F.split(F.translate(subject, UPPER, LOWER), "[^a-z0-9]+"))
+
+
 def matches(subject: Column, rules: list[Rule]) -> Column:
-    """Numbers of the rules that fit, ascending."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; the plan holds at most {MOST_RULES}")
+    """Numbers of the rules that fit, ascending. The rules are part of the plan."""
     if not rules:
         return F.array().cast("array<int>")
     by = index(rules)
     always = F.array(*[F.lit(i) for i in by.pop("", [])]).cast("array<int>")
     keys = F.create_map(*[x for t, ids in by.items() for x in (F.lit(t), F.array(*[F.lit(i) for i in ids]))]) if by else F.create_map().cast("map<string,array<int>>")
-    tokens = F.array_distinct(F.split(F.translate(subject, UPPER, LOWER), "[^a-z0-9]+"))
-    fetched = F.flatten(F.transform(tokens, lambda t: F.coalesce(F.element_at(keys, t), F.array().cast("array<int>"))))
+    fetched = F.flatten(F.transform(tokens_of(subject), lambda t: F.coalesce(F.element_at(keys, t), F.array().cast("array<int>"))))
     patterns = F.array(*[F.lit(r.pattern) for r in rules])
     return F.array_sort(F.filter(F.concat(always, fetched), lambda i: F.regexp_like(subject, F.get(patterns, i))))
 
 
-def judge(pages: DataFrame, rules: list[Rule] | None = None, extra: list[Rule] | None = None, otherwise: str = "allow") -> DataFrame:
+def first_fit(pages: DataFrame, subject: Column, rules: list[Rule], to: list[str], most: int = MOST_RULES, broadcast: int = BROADCAST) -> DataFrame:
+    """pages with the name and verdict (nulls: none) of the first rule that fits, in columns of the names in `to`."""
+    if len(rules) <= most:
+        at = F.get(matches(subject, rules), F.lit(0))
+        of = lambda value: F.get(F.array(*[F.lit(getattr(r, value)) for r in rules]), F.col("_at")) if rules else F.lit(None).cast("string")
+        return pages.withColumn("_at", at).withColumns({to[0]: of("name"), to[1]: of("verdict")}).drop("_at")
+    rows = [(t, i, rules[i].pattern, rules[i].name, rules[i].verdict) for t, ids in index(rules).items() for i in ids]
+    table = pages.sparkSession.createDataFrame(rows, "_token string, _at int, _pattern string, _name string, _verdict string")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    subjects = pages.select(subject.alias("_subject")).distinct()
+    keyed = subjects.select("_subject", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), tokens_of(F.col("_subject"))))).alias("_token"))
+    if sum(len(x) for r in rows for x in r if isinstance(x, str)) <= broadcast:
+        fetched = keyed.join(F.broadcast(table), "_token")
+    else:
+        fetched = keyed.withColumn("_salt", F.pmod(F.xxhash64("_subject"), F.lit(SALTS)).cast("int")).join(table.select("*", salts), ["_token", "_salt"])
+    first = F.min(F.struct("_at", "_name", "_verdict")).alias("_first")
+    fits = fetched.filter(F.regexp_like("_subject", F.col("_pattern"))).groupBy("_subject").agg(first)
+    fits = fits.select("_subject", F.col("_first._name").alias(to[0]), F.col("_first._verdict").alias(to[1]), salts)
+    # Any salt gives the same rows, so a task that runs again may number its rows otherwise.
+    dealt = pages.withColumns({"_subject": subject, "_salt": (F.monotonically_increasing_id() % SALTS).cast("int")})
+    return dealt.join(fits, ["_subject", "_salt"], "left").drop("_subject", "_salt")
+
+
+def judge(pages: DataFrame, rules: list[Rule] | None = None, extra: list[Rule] | None = None, otherwise: str = "allow", most: int = MOST_RULES, broadcast: int = BROADCAST) -> DataFrame:
     """pages with host, path, rule, verdict and reason; columns of these names are replaced.
 
     rules: of host_rule, the longest that fits decides. extra: the method's further rules, which decide (in order) where none
@@ -116,11 +159,10 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None, extra: list[Rule] |
     ranked = sorted(rules, key=lambda r: (-len(r.name), r.name))
     host, path = host_and_path(F.col("url"))
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "reason")]
-    out = pages.select(*[F.col(f"`{c}`") for c in own], host.alias("host"), path.alias("path"))
+    out = pages.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), host.alias("host"), path.alias("path"))
     subject = F.concat("host", "path")
-    out = out.withColumns({"_rule": F.get(matches(subject, ranked), F.lit(0)), "_extra": F.get(matches(subject, extra), F.lit(0))})
-    name = lambda rs, i: F.get(F.array(*[F.lit(r.name) for r in rs]), i) if rs else F.lit(None).cast("string")
-    verdict = lambda rs, i: F.get(F.array(*[F.lit(r.verdict) for r in rs]), i) if rs else F.lit(None).cast("string")
-    rule = F.col("_rule")
-    more = F.when(rule.isNull(), F.col("_extra"))
-    return out.withColumns({"rule": name(ranked, rule), "verdict": F.coalesce(verdict(ranked, rule), verdict(extra, more), F.lit(otherwise)), "reason": name(extra, more)}).drop("_rule", "_extra")
+    out = first_fit(out, subject, ranked, ["rule", "_own"], most, broadcast)
+    out = first_fit(out, subject, extra, ["_reason", "_more"], most, broadcast)
+    free = F.col("rule").isNull()
+    verdict = F.coalesce("_own", "_more", F.lit(otherwise)).alias("verdict")
+    return out.select(*[F.col(f"row.`{c}`") for c in own], "host", "path", "rule", verdict, F.when(free, F.col("_reason")).alias("reason"))

@@ -6,8 +6,8 @@ rules' shortest common strings runs no expression; otherwise only rules whose ke
 within another of higher priority (or of like priority and longer, or equal and of an earlier rule) is suppressed. What is
 left are the text's detections. All of it happens within the row: nothing is shuffled.
 
-The rules are made of families (names and identifiers of licenses) and the forms in which texts state them, several hundred in
-all. Base places are found apart, by words: they stay whatever the rules say.
+The rules are statements written out one by one (clauses, notices, addresses and names of licenses, about a hundred) and, for
+families of licenses, their names in the forms in which texts state them and their identifiers. Base places are found apart, by words: they stay whatever the rules say.
 
 Null and empty texts have no words, detections or labels, and score 0. Rows that repeat are scanned each. Other columns are kept by scan(), but for those it
 adds.
@@ -66,16 +66,114 @@ FORMS = [
     (r"{}\s+licen[cs]e", 20, 0.6),
 ]
 TAG = (r"spdx-license-identifier:\s*{}(?![a-z0-9.+-])", 40, 0.95)
-#: Statements without a family's name: label, keyword, pattern, priority, weight.
+#: Statements: label, keyword, pattern (a space stands for any white space), priority, weight, and a shorter common string if any.
 TEXTS = [
-    ("mit", "charge", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge,?\s+to\s+any\s+person", 35, 0.9),
-    ("bsd", "redistribution", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms", 35, 0.9),
-    ("isc", "permission", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software", 35, 0.8),
-    ("gpl", "redistribute", r"this\s+program\s+is\s+free\s+software[:;]?\s+you\s+can\s+redistribute\s+it", 35, 0.85),
-    ("lgpl", "redistribute", r"this\s+library\s+is\s+free\s+software[:;]?\s+you\s+can\s+redistribute\s+it", 36, 0.85),
-    ("public-domain", "domain", r"(?:released|placed|dedicated)\s+(?:in)?to\s+the\s+public\s+domain", 30, 0.7),
-    ("proprietary", "reserved", r"all\s+rights\s+reserved", 10, 0.3),
-    ("proprietary", "confidential", r"(?:proprietary\s+and\s+confidential|confidential\s+and\s+proprietary)", 15, 0.5),
+    ("mit", "charge", "permission is hereby granted,? free of charge,? to any person", 35, 0.9),
+    ("mit", "sublicense", "to use, copy, modify, merge, publish, distribute, sublicense,? and(?:/or)? sell", 34, 0.8),
+    ("mit", "substantial", "included in all copies or substantial portions of the software", 34, 0.8),
+    ("mit", "infringement", "fitness for a particular purpose and non-?infringement", 32, 0.6),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms", 35, 0.9),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice", 34, 0.8),
+    ("bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice", 34, 0.8),
+    ("bsd", "endorse", "nor the names of its contributors may be used to endorse or promote products", 34, 0.8),
+    ("bsd", "advertising", "all advertising materials mentioning features or use of this software must display", 34, 0.9),
+    ("bsd", "contributors", "this software is provided by the copyright holders and contributors", 33, 0.7),
+    ("bsd", "incidental", "in no event shall the (?:copyright (?:owner|holder)s?|regents|authors?)(?: or contributors)? be liable for any direct, indirect, incidental", 32, 0.6),
+    ("bsd", "regents", "the regents of the university of california", 32, 0.6),
+    ("isc", "permission", "permission to use, copy, modify, and(?:/or)? distribute this software", 35, 0.8),
+    ("isc", "disclaim", "the authors? disclaims? all warranties with regard to this software", 34, 0.7),
+    ("isc", "granted", "with or without fee is hereby granted, provided that the above copyright notice", 34, 0.7),
+    ("gpl", "redistribute", "this program is free software[:;]? you can redistribute it", 35, 0.85),
+    ("gpl", "foundation", "published by the free software foundation[,;]? either version [0-9]", 34, 0.8),
+    ("gpl", "received", "you should have received a copy of the gnu general public licen[cs]e", 36, 0.9),
+    ("gpl", "verbatim", "everyone is permitted to copy and distribute verbatim copies of this license document", 34, 0.8),
+    ("gpl", "exception", "as a special exception, the copyright holders? (?:of this library )?gives? (?:you )?permission to link", 34, 0.7),
+    ("gpl", "gplv", r"(?<![a-z0-9])gplv[123](?:\.0)?(?![a-z0-9])", 30, 0.8),
+    ("lgpl", "redistribute", "this library is free software[:;]? you can redistribute it", 36, 0.85),
+    ("lgpl", "received", "you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e", 36, 0.9),
+    ("lgpl", "lgplv", r"(?<![a-z0-9])lgplv(?:2|2\.1|3)(?![a-z0-9])", 30, 0.8),
+    ("agpl", "received", "you should have received a copy of the gnu affero general public licen[cs]e", 36, 0.9),
+    ("agpl", "agplv", r"(?<![a-z0-9])agplv[13](?:\.0)?(?![a-z0-9])", 30, 0.8),
+    ("gfdl", "documentation", "gnu free documentation licen[cs]e", 26, 0.8, "licen"),
+    ("apache", "compliance", "you may not use this file except in compliance with the license", 35, 0.9),
+    ("apache", "apache.org", r"apache\.org/licenses/license-[12]\.[01]", 38, 0.9),
+    ("apache", "conditions", "basis,? without warranties or conditions of any kind", 34, 0.8),
+    ("apache", "apache", "this product includes software developed (?:at|by) the apache (?:software foundation|group)", 34, 0.8),
+    ("apache", "irrevocable", "perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable", 34, 0.7),
+    ("mpl", "mozilla.org", r"mozilla\.org/mpl", 38, 0.8),
+    ("mpl", "mozilla", "this source code form is subject to the terms of the mozilla public", 35, 0.9),
+    ("mpl", "mozilla", "contents of this file are subject to the mozilla public", 35, 0.9),
+    ("epl", "eclipse.org", r"eclipse\.org/legal/epl-", 38, 0.8),
+    ("epl", "eclipse", "accompanying materials are made available under the terms of the eclipse public", 35, 0.9),
+    ("cddl", "cddl", r"(?<![a-z0-9])cddl(?:-| v?)1\.[01]", 30, 0.8),
+    ("cddl", "opensource.org", r"opensource\.org/licenses/cddl", 38, 0.8),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented", 35, 0.9),
+    ("zlib", "plainly", "altered source versions must be plainly marked as such", 35, 0.9),
+    ("zlib", "as-is", "as-is['\"]?, without any express or implied warranty", 30, 0.5),
+    ("boost", "boost.org", r"boost\.org/license_1_0\.txt", 38, 0.9),
+    ("boost", "machine-executable", "machine-executable object code generated by a source language processor", 35, 0.9),
+    ("artistic", "perl", "same terms as perl itself", 32, 0.7),
+    ("artistic", "artistic", "clarified artistic licen[cs]e", 26, 0.7, "licen"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 36, 0.95),
+    ("unlicense", "unlicense.org", r"unlicense\.org", 38, 0.8),
+    ("wtfpl", "wtfpl", "(?<![a-z0-9])wtfpl(?![a-z0-9])", 30, 0.8),
+    ("cc-by", "creativecommons.org", r"creativecommons\.org/licenses/by/[1-4]\.[05]", 38, 0.9),
+    ("cc-by-sa", "creativecommons.org", r"creativecommons\.org/licenses/by-sa/[1-4]\.[05]", 38, 0.9),
+    ("cc-by-nc", "creativecommons.org", r"creativecommons\.org/licenses/by-nc/[1-4]\.[05]", 38, 0.9),
+    ("cc-by-nd", "creativecommons.org", r"creativecommons\.org/licenses/by-nd/[1-4]\.[05]", 38, 0.9),
+    ("cc-by-nc-sa", "creativecommons.org", r"creativecommons\.org/licenses/by-nc-sa/[1-4]\.[05]", 38, 0.9),
+    ("cc-by-nc-nd", "creativecommons.org", r"creativecommons\.org/licenses/by-nc-nd/[1-4]\.[05]", 38, 0.9),
+    ("cc-by-sa", "attribution-share", r"attribution-share-?alike [1-4]\.[05] (?:international|unported|generic)", 32, 0.8),
+    ("cc-by-nc", "attribution-non", r"attribution-non-?commercial [1-4]\.[05] (?:international|unported|generic)", 32, 0.8),
+    ("cc0", "creativecommons.org", r"creativecommons\.org/publicdomain/zero/1\.0", 38, 0.9),
+    ("cc0", "waived", "waived all copyright and related or neighbou?ring rights", 34, 0.8),
+    ("openssl", "openssl", "this product includes software developed by the openssl project", 34, 0.8),
+    ("openssl", "cryptographic", "this product includes cryptographic software written by", 34, 0.7),
+    ("python", "licensee", "psf is making python available to licensee", 34, 0.9),
+    ("python", "beopen", "beopen python open source licen[cs]e agreement", 34, 0.9),
+    ("postgresql", "documentation", "permission to use, copy, modify, and distribute this software and its documentation for any purpose", 36, 0.8),
+    ("ofl", "bundled", "the fonts?(?: software)?, including any derivative works, can be bundled", 34, 0.9),
+    ("ofl", "scripts.sil.org", r"scripts\.sil\.org/ofl", 38, 0.9),
+    ("ofl", "reserved", "reserved font name", 30, 0.7),
+    ("odbl", "opendatacommons.org", r"opendatacommons\.org/licenses/odbl", 38, 0.9),
+    ("pddl", "opendatacommons.org", r"opendatacommons\.org/licenses/pddl", 38, 0.9),
+    ("odc-by", "opendatacommons.org", r"opendatacommons\.org/licenses/by", 38, 0.9),
+    ("ms-pl", "microsoft", "microsoft public licen[cs]e", 26, 0.8, "licen"),
+    ("ms-rl", "microsoft", "microsoft reciprocal licen[cs]e", 26, 0.8, "licen"),
+    ("beerware", "beer", "you can buy me a beer in return", 34, 0.9),
+    ("beerware", "beer-ware", "the ['\"]?beer-ware licen[cs]e", 26, 0.9, "licen"),
+    ("json", "evil", "the software shall be used for good, not evil", 35, 0.9),
+    ("afl", "academic", "academic free licen[cs]e", 26, 0.8, "licen"),
+    ("osl", "open", "(?<![a-z0-9])open software licen[cs]e", 26, 0.8, "licen"),
+    ("ncsa", "illinois", "university of illinois/ncsa open source licen[cs]e", 26, 0.9, "licen"),
+    ("upl", "universal", "universal permissive licen[cs]e", 26, 0.8, "licen"),
+    ("sspl", "server", "server side public licen[cs]e", 26, 0.9, "licen"),
+    ("busl", "business", "business source licen[cs]e", 26, 0.8, "licen"),
+    ("elastic", "elastic", "(?<![a-z0-9])elastic licen[cs]e", 26, 0.8, "licen"),
+    ("commons-clause", "commons", "commons clause licen[cs]e condition", 34, 0.9, "licen"),
+    ("ijg", "jpeg", "based in part on the work of the independent jpeg group", 34, 0.8),
+    ("freetype", "freetype", "(?:the )?freetype (?:project )?licen[cs]e", 26, 0.8, "licen"),
+    ("php", "php", r"(?<![a-z0-9])php licen[cs]e,? (?:version )?3\.0[01]?", 26, 0.8, "licen"),
+    ("zpl", "zope", "zope public licen[cs]e", 26, 0.8, "licen"),
+    ("w3c", "w3c", "w3c software (?:notice and )?licen[cs]e", 26, 0.8, "licen"),
+    ("ruby", "ruby", "same terms as ruby itself", 32, 0.7),
+    ("cecill", "cecill", "(?<![a-z0-9])cecill(?:-[abc])?(?: free software)? licen[cs]e", 26, 0.8, "licen"),
+    ("openrail", "openrail", "(?<![a-z0-9])openrail(?:-m|[+]{2})?(?![a-z0-9])", 28, 0.8),
+    ("llama", "llama", r"llama (?:[1-9](?:\.[0-9])? )?community licen[cs]e", 28, 0.9, "licen"),
+    ("public-domain", "domain", "(?:released|placed|dedicated) (?:in)?to the public domain", 30, 0.7),
+    ("public-domain", "domain", "this (?:file|work|software|document|code) is (?:in|part of) the public domain", 30, 0.7),
+    ("public-domain", "claimed", "no copyright (?:is )?claimed", 20, 0.5),
+    ("public-domain", "reserved", "no rights reserved", 20, 0.6),
+    ("public-domain", "government", r"work of the (?:united states|u\.s\.) government", 30, 0.6),
+    ("proprietary", "reserved", "all rights reserved", 10, 0.3),
+    ("proprietary", "confidential", "(?:proprietary and confidential|confidential and proprietary)", 15, 0.5),
+    ("proprietary", "confidential", "strictly confidential", 12, 0.4),
+    ("proprietary", "unauthori", "unauthori[sz]ed (?:copying|reproduction|distribution|use) of this (?:file|software|document|material)", 15, 0.6),
+    ("proprietary", "reproduced", "may not be reproduced (?:or [a-z]+ )?(?:in whole or in part )?without", 15, 0.5),
+    ("proprietary", "secrets", "contains (?:valuable )?trade secrets", 15, 0.5),
+    ("proprietary", "agreement", "end(?:-| )user licen[cs]e agreement", 26, 0.6, "licen"),
+    ("proprietary", "commercial", "for personal,? (?:and )?non-?commercial use only", 15, 0.5),
+    ("proprietary", "evaluation", "for evaluation purposes only", 15, 0.5),
 ]
 
 
@@ -91,7 +189,7 @@ class Rule:
 
 def rules() -> list[Rule]:
     """All rules, the surest first; their number decides between equals."""
-    out = [Rule(*x) for x in TEXTS]
+    out = [Rule(label, keyword, pattern.replace(" ", r"\s+"), *more) for label, keyword, pattern, *more in TEXTS]
     for label, names, ids in FAMILIES:
         for name in names:
             words = r"\s+".join(re.escape(w) for w in name.split())

@@ -1,7 +1,8 @@
 """Quality by nearest-neighbour voting among latent-semantic vectors.
 
-Terms of a text are trigrams of its character shapes (case, digit, space, line end, each common mark) and, of its words, whether one repeats a
-neighbour or an earlier word. Log counts times inverse document frequency, projected on the leading singular directions of
+Terms of a text are its lower-cased words (hashed to a fixed number of terms), trigrams of its character shapes (case, digit,
+space, line end, each common mark) and, of its words, whether one repeats a neighbour or an earlier run. Log counts times
+inverse document frequency, those of words at half weight, projected on the leading singular directions of
 labelled texts, make its latent-semantic vector. Every document meets all labelled vectors in blocks of exact cosine
 products; the nearest of them vote with their similarity to a power.
 
@@ -9,7 +10,8 @@ The fit reads at most `sample` labelled rows (those with the smallest hashes of
 bound: sample * (rank + 1) numbers and the projection. Everything else runs over all rows and whole texts, without a shuffle.
 
 Null and empty texts have no terms; their score is the share of good labels in the sample. Without any labelled row the score
-is 0.5. Labels that are null, and documents that repeat, are harmless: the latter count as often as they occur.
+is 0.5. Null labels are left out. Labelled documents that repeat count as often as they occur, up to 2 * sample rows in all
+(those with the smallest doc_ids).
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ from tallyfold.llm.common import flat, in_slices, text_of
 from tallyfold.llm.words import LOWER, bounds, hashes, mix
 
 SAMPLE, RANK, NEAREST, POWER, THRESHOLD = 3000, 48, 25, 4.0, 0.3
-SHAPES, REPEATS = 16, 32
-#: Texts whose vectors a worker holds at once: their counts take 50 kB each.
+SHAPES, REPEATS, WORDS, WORD_WEIGHT = 16, 32, 1024, 0.5
+#: Texts whose vectors a worker holds at once: their counts take 60 kB each.
 BLOCK = 512
-DIMS = SHAPES**3 + REPEATS
+DIMS = SHAPES**3 + REPEATS + WORDS
 
 _SHAPE = np.full(256, 15, np.uint8)  # other marks and control characters
 _SHAPE[97:123] = 0
@@ -59,6 +61,7 @@ def terms(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         h = hashes(low, starts, ends)
         own = np.repeat(np.arange(n), np.diff(of))
         words = np.diff(of).astype(np.float64)
+        out[:, -WORDS:] = np.bincount(own * WORDS + (h % np.uint64(WORDS)).astype(np.int64), minlength=n * WORDS).reshape(n, WORDS)
         ratio = np.zeros((2, n))
         same = np.zeros(len(h), bool)
         same[1:] = (h[1:] == h[:-1]) & (own[1:] == own[:-1])
@@ -80,7 +83,9 @@ def terms(data: np.ndarray, off: np.ndarray) -> np.ndarray:
             for k in range(1, 16):
                 hit = rows[step[j][rows] >= k]
                 out[hit, SHAPES**3 + 16 * j + k] = words[hit]
-    return np.log1p(out, out=out)
+    np.log1p(out, out=out)
+    out[:, -WORDS:] *= WORD_WEIGHT
+    return out
 
 
 def directions(z: np.ndarray, rank: int, steps: int = 8) -> np.ndarray:
@@ -107,7 +112,9 @@ class Model:
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
-        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+        """x, scaled in its place."""
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+        return x
 
     def score(self, x: np.ndarray, block: int = 512) -> np.ndarray:
         out = np.full(len(x), self.prior)

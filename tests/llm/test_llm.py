@@ -343,22 +343,42 @@ def test_gazetteers():
     assert pii.votes(6, "Mr. Juan Pérez", 4, 14, pii._LOOSE[4][3])[1] == 1
 
 
-def test_urls(spark):
-    urls = [None, "", "x", "http://", "HTTP://WWW.Example.COM/en/a?b", "https://a.net/es/1", "https://a.net/es", "ftp://ads.x.org/login", "http://com/#f", "//a://b.com/c"]
-    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, path string")
-    got = {r.page_id: r for r in urlfilter.judge(pages).collect()}
-    for i, u in enumerate(urls):
+URLS = [None, "", "x", "http://", "HTTP://WWW.Example.COM/en/a?b", "https://a.net/es/1", "https://a.net/es", "ftp://ads.x.org/login", "http://com/#f", "//a://b.com/c"]
+URLS += ["http://a.org/blog/wp-admin/", "http://a.org/wp/x/admin", "http://a.org/My_Account", "http://a.org/terms-of-use.html", "http://a.org/terms-of-user", "http://a.org/x", "http://a.org/x", "http://casino.a.org/x?login"]
+
+
+@pytest.mark.parametrize("most,broadcast", [(500, 0), (0, 1 << 20), (0, 0)])
+def test_urls(spark, most, broadcast):
+    """In the plan, as a broadcast table and as a dealt one: every rule on every URL."""
+    pages = spark.createDataFrame([(i, u, "h", "s", 7) for i, u in enumerate(URLS)], "page_id long, url string, path string, _subject string, _at int")
+    free = urlfilter.Rule("any-x", "/x$", (), "block")  # without a literal token
+    extra = [*urlfilter.default_rules(), free]
+    result = urlfilter.judge(pages, None, extra, most=most, broadcast=broadcast)
+    assert set(result.columns) == {"page_id", "url", "_subject", "_at", "host", "path", "rule", "verdict", "reason"}
+    got = {r.page_id: r for r in result.collect()}
+    assert len(got) == len(URLS) and all(r._subject == "s" and r._at == 7 for r in got.values())
+    for i, u in enumerate(URLS):
         rest = u.split("://", 1)[1] if u and "://" in u else ""
         host = low(re.match(r"[^/?#]*", rest).group())
         path = re.match(r"[^?#]*", rest[len(re.match(r"[^/?#]*", rest).group()) :]).group()
         fits = [(h + p, v) for h, p, v in urlfilter.BASE if (host == h or host.endswith("." + h)) and path.startswith(p)]
         rule, verdict = max(fits, key=lambda x: len(x[0])) if fits else (None, None)
+        more = [r.name for r in extra if re.search(r.pattern, host + path)]
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
-        if rule:
-            assert got[i].verdict == verdict
-        else:
-            extra = [r for r in urlfilter.default_rules() if re.search(r.pattern, host + path)]
-            assert got[i].verdict == ("block" if extra else "allow")
+        assert got[i].verdict == (verdict if rule else "block" if more else "allow")
+        assert got[i].reason == (more[0] if more and not rule else None)
+    assert {"machine:wp admin", "account:my account", "legal:terms of use", "any-x"} <= {r.reason for r in got.values()}
+    assert urlfilter.judge(pages.limit(0), None, extra, most=most, broadcast=broadcast).count() == 0
+
+
+def test_url_index():
+    """A rule stands under the token that fewest rules share, once."""
+    rules = urlfilter.default_rules()
+    by = urlfilter.index(rules)
+    assert sorted(i for ids in by.values() for i in ids) == list(range(len(rules)))
+    often = {t: sum(t in r.tokens for r in rules) for r in rules for t in r.tokens}
+    assert all(often[t] == min(often[x] for x in rules[i].tokens) for t, ids in by.items() for i in ids)
+    assert sum(len(set(r.tokens)) > 1 for r in rules) > len(rules) / 2
 
 
 def test_licenses(docs, none):
@@ -402,16 +422,27 @@ def test_many_detections(spark):
         assert [tuple(f) for f in got[i]] == sorted(x for x in every if not any(beaten(x, y) for y in every))
 
 
-STATEMENTS = [
-    "permission is hereby granted, free of charge, to any person",
-    "redistribution and use in source and binary forms",
-    "permission to use, copy, modify, and/or distribute this software",
-    "this program is free software: you can redistribute it",
-    "this library is free software; you can redistribute it",
-    "placed into the public domain",
-    "all rights reserved",
-    "proprietary and confidential",
-]
+def shortest(pattern):
+    """A string that the pattern matches, of the first alternatives and the fewest repeats; white space is one space."""
+
+    def of(items):
+        out = ""
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "IN":
+                kind, first = arg[0]
+                out += " " if str(kind) == "CATEGORY" else chr(first[0] if str(kind) == "RANGE" else first)
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                out += of(arg[2]) * arg[0]
+            elif name == "SUBPATTERN":
+                out += of(arg[3])
+            elif name == "BRANCH":
+                out += of(arg[1][0])
+        return out
+
+    return of(re._parser.parse(pattern))
 
 
 @pytest.mark.parametrize("gap", ["\n", "  ", "\t", "\r\n    "])
@@ -421,7 +452,9 @@ def test_license_rules_wrapped(spark, gap):
     names = [f"released under the terms of the {n} license, version 2.0" for _, ns, _ in licenses.FAMILIES for n in ns]
     names += [f"{lead} {n} licence{tail}" for _, ns, _ in licenses.FAMILIES for n in ns for lead, tail in (("the", ", v. 3"), ("subject to the", ""), ("a", ""))]
     names += [f"spdx-license-identifier: {i}" for _, _, ids in licenses.FAMILIES for i in ids]
-    texts = [t.replace(" ", gap) for t in STATEMENTS + names]
+    statements = [shortest(r.pattern) for r in rs]
+    assert all(re.fullmatch(r.pattern, t) for r, t in zip(rs, statements, strict=True))
+    texts = [t.replace(" ", gap) for t in statements + names]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: sorted((f["rule"], f["start"], f["end"]) for f in r.found) for r in licenses.scan(docs).collect()}
     seen = set()
@@ -468,3 +501,70 @@ def test_gapped_insults():
     assert k[0] > k[1] > k[2] >= 0
     sym, starts, ends, _ = toxicity.strings(*flat(pa.array(["i d i o t !", "so it is"])))
     assert any(ends[i] - starts[i] == 5 for i in range(len(starts)))
+
+
+def test_string_kernel():
+    """The kernel by its definition on all subsequences, and one weight a subsequence against landmarks and machine."""
+    words = ["idiot", "id-iot", "i.d.i.o.t", "house", "a", "aa", "aaaaaaa", "mother", "x" * 64]
+    marks = ["idiot", "hideout", "aaaa", "moth"]
+
+    def counts(word):
+        s = [1, *toxicity._SYMBOL[np.frombuffer(word.encode(), np.uint8)].tolist(), toxicity.END]
+        out = {}
+        for i in range(len(s)):
+            for j in range(i + 1, len(s)):
+                for k in range(j + 1, min(len(s), i + toxicity.SPAN)):
+                    key = (s[i], s[j], s[k])
+                    out[key] = out.get(key, 0.0) + toxicity.DECAY ** (k - i + 1)
+        return {k: v / toxicity.NORM[len(s)] for k, v in out.items()}
+
+    got = toxicity.decide(toxicity.as_rows(words), *toxicity.spread(toxicity.as_rows(marks)))
+    for i, w in enumerate(words):
+        for j, m in enumerate(marks):
+            a, b = counts(w), counts(m)
+            assert got[i, j] == pytest.approx(sum(v * b.get(k, 0.0) for k, v in a.items()), abs=1e-9)
+    r = np.random.default_rng(5)
+    make = lambda stem: stem + "".join(r.choice(list("abcdefgh"), 2))
+    pos, neg = [make("zork") for _ in range(16)], [make("table") for _ in range(40)]
+    model, seen = toxicity.Model(0.5), np.ones(56)
+    model.train(pos, neg, 16, seen, True)
+    y = np.array([1.0] * 16 + [-1.0] * 40)
+    w = toxicity.svm(model.x, y, np.log1p(seen) * np.where(y > 0, max(1.0, 40 / 16 / toxicity.BALANCE), 1.0))
+    collapsed = toxicity.decide(toxicity.as_rows(pos + neg), model.weights) + model.bias
+    np.testing.assert_allclose(collapsed, model.x @ w[:-1] + w[-1], atol=1e-3)
+    assert ((collapsed > 0) == (y > 0)).all()
+
+
+def test_votes():
+    """Terms, blocked cosines and votes against loops over all labelled vectors."""
+    r = np.random.default_rng(3)
+    good, bad = ["river", "stone", "cloud", "meadow", "winter"], ["casino", "bonus", "credit", "cheap", "offer"]
+    text = lambda ws: " ".join(r.choice(ws, r.integers(20, 60)))
+    texts = [text(good) for _ in range(60)] + [text(bad) for _ in range(30)]
+    x = quality.terms(*flat(pa.array([*texts, "", "River RIVER x"])))
+    assert x.shape == (92, quality.DIMS) and not x[90].any()
+    assert sorted(np.expm1(x[91, -quality.WORDS :][x[91, -quality.WORDS :] > 0] / quality.WORD_WEIGHT).round(4)) == [1.0, 2.0]
+    y = np.array([1.0] * 60 + [0.0] * 30)
+    known = np.r_[0:50, 60:85]
+    model = quality.Model(x[known].copy(), y[known], 8, 7, 4.0)
+    test = np.r_[50:60, 85:92]
+    unit = lambda v: v / max(float(np.sqrt((v * v).sum())), 1e-9)
+    vectors = [unit(unit(x[i] * model.idf) @ model.axes) for i in known]
+    for i, s in zip(test, model.score(x[test].copy(), block=4), strict=True):
+        cos = sorted(((float(unit(unit(x[i] * model.idf) @ model.axes) @ v), y[known[j]]) for j, v in enumerate(vectors)), reverse=True)[:7]
+        total = sum(max(c, 0) ** 4 for c, _ in cos)
+        want = sum(max(c, 0) ** 4 * t for c, t in cos) / total if x[i].any() and total > 1e-9 else y[known].mean()
+        assert s == pytest.approx(want, abs=1e-3)
+
+
+def test_quality_of_words():
+    """Bad texts in ordinary lower-case prose, told from good ones by a part of their words only."""
+    r = np.random.default_rng(1)
+    vocab = ["".join(r.choice(list("abcdefghiklmnoprstuvw"), r.integers(3, 9))) for _ in range(600)]
+    text = lambda ws: " ".join(r.choice(ws, r.integers(20, 200))) + "."
+    x = quality.terms(*flat(pa.array([text(vocab[:400]) for _ in range(900)] + [text(vocab[300:]) for _ in range(150)])))
+    y = np.repeat([1.0, 0.0], [900, 150])
+    held = np.r_[700:900, 1000:1050]
+    known = np.setdiff1d(np.arange(1050), held)
+    p = quality.Model(x[known], y[known], quality.RANK, quality.NEAREST, quality.POWER).score(x[held])
+    assert (p[:200] >= quality.THRESHOLD).mean() >= 0.99 and (p[200:] < quality.THRESHOLD).mean() >= 0.9

@@ -103,7 +103,8 @@ class Model:
         self.nearest, self.power = nearest, power
         self.idf = np.log((1 + len(y)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
         if len(y):
-            z = self._weigh(x)
+            x *= self.idf  # in its place: the sample is the largest thing the driver holds
+            z = self._unit(x)
             self.axes = directions(z, rank)
             self.known, self.labels = self._unit(z @ self.axes), y.astype(np.float32)
 

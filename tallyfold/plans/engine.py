@@ -308,13 +308,13 @@ class Engine:
         levels = hierarchy.propose_levels(self._deps(fa), self._deps(fb), [(c.col_a, c.col_b) for c in found])
         return {"keys": [asdict(c) for c in found], "compares": [{"col_a": x, "col_b": y, "name_sim": s} for x, y, s in compare], "levels": levels}
 
-    def reconcile(self, pair: str, a: int | None = None, b: int | None = None, tolerance: str = "0.01", m2m_cap: int = 10_000) -> dict:
+    def reconcile(self, pair: str, a: int | None = None, b: int | None = None, tolerance: str = "0.01", m2m_cap: int = 10_000, lineage_rows: int | None = None) -> dict:
         cat = self.catalog
         p = cat.one("ReconPair", name=pair)
         fa, fb = self._files(p, a, b)
         maps = [reconcile.Mapping(m["role"], m["level"], m["col_a"], m["col_b"], m["norm_mode"]) for m in cat.find("ColumnMapping", recon_pair_id=p["id"])]
         x, y = self.dataset(fa), self.dataset(fb)
-        policy = reconcile.Policy(tolerance, m2m_cap)
+        policy = reconcile.Policy(tolerance, m2m_cap, lineage_rows=lineage_rows)
         reconcile.check(x, y, maps)
         # The run stands in the catalogue before its work: one that fails keeps its number and never gets an end.
         run_uuid = str(uuid.uuid4())

@@ -421,7 +421,7 @@ def smart_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def recon_smart_keys(spark: SparkSession, d: str) -> DataFrame:
     maps = [Mapping("key", 0, "code", "code no"), Mapping("compare", 0, "amount", "amount"), Mapping("compare", 0, "units", "units"), Mapping("display", 0, "prio", "prio")]
     a, b = (x.withColumn("src_row", F.col("o_orderkey").cast("long")) for x in smart_sides(spark, d))
-    f = reconcile.reconcile(a, b, maps, reconcile.Policy(m2m_cap=1 << 40), lineage=True)
+    f = reconcile.reconcile(a, b, maps, reconcile.Policy(m2m_cap=None), lineage=True)
     return f.select("key_json", "bucket", "compare_col", *[F.col(c).cast("double").alias(c) for c in ("value_a", "value_b", "delta")], "rows_a", "rows_b", "severity", "note", reconcile.lineage_json().alias("lineage_json"))
 
 

@@ -26,3 +26,15 @@ def test_query(spark, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
+
+
+@pytest.mark.parametrize("n", [12_000, 1_250_000])  # more rows of a key than lists once held, and more pairs of rows than 2^40
+def test_smart_keys_of_many_rows(spark, tmp_path, n):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i * 150 AS o_orderkey, i AS o_custkey, i % 1000 / 4 AS o_totalprice, CASE WHEN i % 2 = 0 THEN '1-URGENT' ELSE '5-LOW' END AS o_orderpriority FROM range({n}) t(i)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    rel = con.sql(ORACLE_SQL["recon_smart_keys"])
+    want = sorted(map(str, rel.fetchall()))
+    got = QUERIES["recon_smart_keys"](spark, str(tmp_path)).select(*rel.columns).collect()
+    assert [r.lineage_json.count(",") > 2 * n * 0.9 for r in got] == [True, True]
+    assert sorted(str(tuple(r)) for r in got) == want

@@ -15,7 +15,8 @@ Documents with equal shingles are one class before anything is joined. A band's
 each with a leader; pairs are confirmed by the exact Jaccard similarity of their sets of shingles. Where members are not
 all of one component by then, bounds and shingles that the leader lacks find the further pairs (see linked()): no link between
 different texts of a bucket is lost, and copies, however many, are never expanded into pairs. Components are found by joins with cut
-lineage; nothing but counts comes to the driver.
+lineage, those of a graph of few links (SMALL) in one task; nothing but counts comes to the driver. What a join reads twice is
+written first: else Spark would run the Python before it twice.
 
 Null and empty texts have no shingles: each is a class of its own kind (all of them one class of equal texts), never linked. A
 document that repeats is a member each time. An empty table gives no rows. Rows with a null doc_id are members of their class; one of such rows
@@ -36,6 +37,7 @@ from tallyfold.llm.words import LOWER, bounds, grams, hashes, mix
 
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 32, 6
 PAIRED, FEW, SPLIT = 3, 24, 1024
+SMALL = 1 << 18
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -187,9 +189,9 @@ def beside(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     return pairs.join(heads, ["a", "s"]).join(values.select(F.col("class").alias("b"), F.col(column).alias("y")), "b")
 
 
-def dealt(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of groups that are few, with s."""
-    return pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(16)).cast("long").alias("s"))
+def dealt() -> Column:
+    """s of pairs (a, b) of groups that are few."""
+    return F.pmod(F.xxhash64("b"), F.lit(16)).cast("long")
 
 
 def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -242,8 +244,35 @@ def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return beside(pairs, sets, "shingles").select("a", "b", "root", "x", "y").mapInArrow(run, "a long, b long, root long, size long, same long, other array<long>")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and root (its component's smallest node) for every node of the edges (a, b)."""
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (a, b), sorted, and for each its component's smallest node."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        open_ = low < high
+        x, y = x[open_], y[open_]
+        np.minimum.at(root, high[open_], low[open_])
+        while (root[root] != root).any():
+            root = root[root]
+    return nodes, nodes[root]
+
+
+def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """node and root (its component's smallest node) for every node of the edges (a, b).
+
+    Of edges that are `small` in number, one task finds them; more are joined with their labels until none moves.
+    """
+
+    def run(batches):
+        a, b = zip(*((x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches if x.num_rows), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in roots(np.concatenate(a), np.concatenate(b))], ["node", "root"])
+
+    if not (n := edges.count()):
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if n <= small:
+        return written(edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, root long"), "part")
     each = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct(), "part")
     label = written(each.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "part")
     while True:
@@ -274,28 +303,35 @@ def linked(docs: DataFrame, reps: DataFrame, least: float, shingle: int) -> Data
     groups = written(spots.join(spots.groupBy("g").count().filter("count > 1"), "g"), "groups")
     need = groups.select("class").distinct().join(reps, "class").select("class", "key", "doc", "mark")
     sets = written(sets_of(docs, need, shingle), "sets")
-    compare = lambda pairs: confirmed(likely(pairs, reps, least), sets, least)
-    good, found, most = None, None, FEW
+    compare = lambda pairs: written(confirmed(written(likely(pairs, reps, least), "part"), sets, least), "part")
+    found, most = None, FEW
+
+    def joined(more: DataFrame) -> DataFrame:
+        """Components with further edges: those so far stand as edges of each node and its root."""
+        return components(more if found is None else found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+
     while not groups.isEmpty():
         few = groups.filter(F.col("count") <= PAIRED)
-        direct = few.select("g", F.col("class").alias("a")).join(few.select("g", F.col("class").alias("b")), "g").filter("a < b").select("a", "b").distinct()
+        direct = few.select("g", F.col("class").alias("a")).join(few.select("g", F.col("class").alias("b")), "g").filter("a < b")
         many = written(groups.filter(F.col("count") > PAIRED), "part")
         meets = groups.groupBy("class").agg(F.sum("count").alias("meets"))
         rank = F.struct("meets", (-F.col("class")).alias("minus"))
         best = many.join(meets, "class").groupBy("g").agg(F.max(rank).alias("best"))
         best = many.join(best, "g").groupBy("class").agg(F.max("best").alias("best"))
         lead = many.join(best, "class").groupBy("g").agg(F.max("best").alias("best"))
-        led = many.join(lead, "g").select((-F.col("best.minus")).alias("a"), F.col("class").alias("b"), "g", "count").filter("a != b")
-        # A pair stands in the part of one of its groups.
-        led = led.groupBy("a", "b").agg(F.min(F.struct("g", "count")).alias("at"))
+        led = many.join(lead, "g").select((-F.col("best.minus")).alias("a"), F.col("class").alias("b"), F.struct("g", "count").alias("at")).filter("a != b")
+        # A pair with a leader (star) stands in the part of one of its groups.
+        pairs = led.union(direct.select("a", "b", F.lit(None).cast(led.schema["at"].dataType))).groupBy("a", "b").agg(F.min("at").alias("at"))
         part = F.xxhash64("at.g", F.pmod(F.xxhash64("b"), F.ceil(F.col("at.count") / SPLIT)))
-        star = written(led.select("a", "b", part.alias("s")), "part")
-        sure = compare(star.union(dealt(direct)))
-        good = written(sure if good is None else good.union(sure), "part")
-        found = components(good)
+        star = F.col("at").isNotNull()
+        pairs = written(pairs.select("a", "b", F.when(star, part).otherwise(dealt()).alias("s"), star.alias("star")), "part")
+        star = pairs.filter("star").select("a", "b", "s")
+        found = joined(compare(pairs))
         named = star.join(found, star["b"] == found["node"], "left").select("a", "b", "s", F.coalesce("root", "b").alias("root"))
         mixed = named.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("a")
-        open_ = named.join(star.select("a", "s").distinct().join(mixed, "a"), ["a", "s"])
+        open_ = written(named.join(star.select("a", "s").distinct().join(mixed, "a"), ["a", "s"]), "part")
+        if open_.isEmpty():
+            break
         parts = written(differences(open_, sets), "part")
         ratio = F.lit(1 / least)
         reach = F.floor(ratio * F.col("same") - (F.col("size") - F.col("same")) + 1e-9)
@@ -314,9 +350,10 @@ def linked(docs: DataFrame, reps: DataFrame, least: float, shingle: int) -> Data
         x = few.select("a", "w", F.col("b").alias("x"), F.col("root").alias("rx"))
         y = few.select("a", "w", F.col("b").alias("y"), F.col("root").alias("ry"))
         paired = x.join(y, ["a", "w"]).filter("x < y AND rx != ry").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        good = written(good.union(compare(dealt(sized.union(paired).distinct()))), "part")
+        further = written(sized.union(paired).distinct().withColumn("s", dealt()), "part")
+        if not further.isEmpty() and not (further := compare(further)).isEmpty():
+            found = joined(further)
         groups = written(shared.filter(F.col("count") > most).select(F.xxhash64("a", "w").alias("g"), F.col("b").alias("class"), "count"), "part")
-        found = components(good)
         most *= 8
     return found if found is not None else reps.select(F.col("class").alias("node"), F.col("class").alias("root"))
 

@@ -256,6 +256,35 @@ def test_minhash_ids(spark):
     assert len(kept) == len(groups) and all(sum(r in g for r in kept) == 1 for g in groups)
 
 
+def test_components(spark):
+    """In one task and by joins: every node's smallest, of chains, stars around a large node, cycles and loops; no edges have none."""
+    r = np.random.default_rng(4)
+    edges = [(i + 1, i) for i in range(1000, 1060)] + [(9000, i) for i in range(3000, 3100)] + [(5, 5), (6, 7), (7, 6), (8, 8), (8, 2)]
+    edges += [(int(x), int(y)) for x, y in r.integers(10_000, 10_400, (180, 2))] + [(-5, 1 << 60), (1 << 60, 77)]
+    root = {x: x for e in edges for x in e}
+    while any(root[x] != root[y] for x, y in edges):
+        for x, y in edges:
+            root[x] = root[y] = min(root[x], root[y])
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    assert {r.node: r.root for r in minhash.components(df).collect()} == root
+    joined = {r.node: r.root for r in minhash.components(df, small=0).collect()}
+    assert joined == {x: y for x, y in root.items() if x != 5}  # a node with an edge to itself only
+    assert minhash.components(df.limit(0)).count() == 0
+
+
+def test_minhash_jobs(spark):
+    """What is done once a round is not done twice: the near copies of one text, some of them beyond their leader's reach, take few jobs."""
+    rows = [(i, " ".join(f"new{i}" if (j * 31 + i) % 97 < i % 4 else w for j, w in enumerate(words(200, 9).split()))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sc = spark.sparkContext
+    sc.setJobGroup("near", "near copies")
+    try:
+        minhash.keep(docs).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(sc.statusTracker().getJobIdsForGroup("near")) <= 85
+
+
 def test_signature_estimates():
     r = np.random.default_rng(2)
     a = r.integers(0, 2**63, 400).astype(np.uint64)
